@@ -18,20 +18,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import Workspace, byte_chunks, text_buffers
-from ._tokens import default_path
+from ._tokens import byte_letters, default_path
 
 #: Distinct words kept per worker; the cache holds results only and never changes them.
 CACHE = 400_000
 _NONE = 1 << 62
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class SegmentTree:
     """The least value and its leftmost place, with point updates."""
 
@@ -83,7 +76,7 @@ class WordBpe:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         #: Characters for which lower-casing and splitting are known to equal the library's.
         self.odd = regex.compile(r"[^\t\n\r -~¡-¬®-ĮıIJ-˿]").search
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.cache: dict[str, tuple[str, str, int]] = {}
         self._library = None
 
