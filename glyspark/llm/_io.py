@@ -61,15 +61,15 @@ class Workspace:
 
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array and n + 1 offsets; null counts as empty."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
     if col.null_count:
         col = col.fill_null(b"")
     _, off, data = col.buffers()
     offsets = np.frombuffer(off, dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]] if len(col) else raw[:0], offsets - (offsets[0] if len(col) else 0)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def byte_chunks(offsets: np.ndarray, most: int = 1 << 20):
