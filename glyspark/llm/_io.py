@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,9 +48,14 @@ class Workspace:
         """Write df as Parquet and read it back with the schema it had."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of finished steps now, not when the driver's memory fills."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm

@@ -223,9 +223,16 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sketch = frequency_sketch(docs, width)
     prefixes = postings(docs, sketch, width).withColumnRenamed("doc_id", "rep").join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
     posted = work.save(_exploded(prefixes), "postings")
-    heads = posted.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("token", "head")
-    shared = work.save(posted.join(heads, "token"), "shared")
+    del prefixes
+    work.free()
+    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token")
+    shared = work.save(posted.join(often, "token", "left_semi"), "often")
     work.drop("postings")
+    work.free()
+    heads = shared.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("token", "head")
+    shared = work.save(shared.join(heads, "token"), "shared")
+    work.drop("often")
+    work.free()
 
     # 3. One verification per document: against the head it meets most often.
     votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"))
@@ -233,6 +240,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     links = verified(work.save(best.select(F.col("rep").alias("a"), F.col("head").alias("b")), "pairs1"), docs, work, "links1", width)
     first = work.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work, "cc1_"), "first")
 
+    work.free()
     # 4. The multi-match join over pairs that are not in one component yet.
     rows = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     spread = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
@@ -247,6 +255,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     pairs = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(l).alias("l")).filter("shared >= l").select("a", "b")
     more = verified(work.save(pairs, "pairs2"), docs, work, "links2", width)
 
+    work.free()
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = work.save(components(edges, work, "cc2_"), "components")
     work.drop("shared", "open", "first", "pairs1", "pairs2", "links1", "links2")
