@@ -23,6 +23,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_spans
+
+    return digest(find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -48,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op4_toxicity, op7_bpe, op8_packing, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op3_ngram_join, op4_toxicity, op6_pii, op7_bpe, op8_packing, op9_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
