@@ -193,8 +193,8 @@ def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, epochs: int =
 _tables: dict[int, WordTable] = {}
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
+def predict(docs: DataFrame, net: Network, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row; carry adds the whole row as struct `row`."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)
     key = zlib.crc32(b"".join(v.tobytes() for v in net.p.values()) + repr(net.labels).encode())
@@ -236,14 +236,24 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                     j = int(p.argmax())
                     langs.append(model.labels[j])
                     scores.append(float(p[j] / p.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                out = [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(out + [batch.column(3).slice(lo, n)] * carry, names=names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~is_learnable(F.col("doc_id"))).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    names = ["doc_id", "held_out", "lang_pred", "score"] + ["row"] * carry
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~is_learnable(F.col("doc_id"))).alias("held_out"), *([whole] if carry else []))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
+    return source.mapInArrow(run, schema + f", row {source.schema['row'].dataType.simpleString()}" if carry else schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the labelled rows that are not held out and predict all rows."""
     Workspace(docs.sparkSession, "langid")
     return predict(docs, train(docs))
+
+
+def keep_known(docs: DataFrame, least: float = REJECT) -> DataFrame:
+    """The rows of docs whose language is recognised with that score at least."""
+    Workspace(docs.sparkSession, "langid")
+    found = predict(docs, train(docs), carry=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from ._io import Workspace, byte_chunks, text_buffers
 from ._words import mix, shingle_sets
@@ -262,3 +262,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     labels = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     lone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sigs.join(labels, "digest", "left").select("doc_id", "n_shingles", lone.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row of docs for each component: that with its least doc_id; rows without an id stay."""
+    kept = similar_documents(docs, width).filter("doc_id = component_id").select(F.col("component_id").alias("kept_id")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(kept, "kept_id", "left_semi")
+    # Rows that repeat an id: the first by content.
+    first = F.row_number().over(Window.partitionBy("kept_id").orderBy(F.xxhash64("row.text")))
+    return joined.withColumn("nth", first).filter("nth = 1").select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -18,7 +18,6 @@ texts. An empty table gives no rows. Other columns are ignored unless named in `
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -302,5 +301,9 @@ def redact(found: DataFrame) -> DataFrame:
     return found.select(*kept, "spans").mapInArrow(run, schema)
 
 
-def span_digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with personal data in `text` replaced, and `n_chars`, if there, brought in line."""
+    out = redact(find_spans(docs, carry=docs.columns))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,6 +11,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    best = F.coalesce(F.array_max(F.transform("spans", lambda x: x["coverage"])), F.lit(0.0))
+    return found.select("doc_id", "n_licenses", "licenses", spans.alias("spans"), best.alias("coverage"))
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_documents
 
@@ -23,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest, find_spans
 
@@ -54,8 +77,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op4_toxicity, op6_pii, op7_bpe, op8_packing, op9_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_ngram_join, op4_toxicity, op5_embedding_dedup, op6_pii, op7_bpe, op8_packing, op9_sharding, op10_language_id)}
+
+
+#: The ten nearest codes of each asked vector by brute force.
+TOPK_SQL = """
+WITH size AS (
+  SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), codes AS (
+  SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> x > 0) AS code
+  FROM embeddings, size
+  WHERE vec_id IS NOT NULL AND len(embedding) = d AND list_count(embedding) = d AND NOT list_contains(list_transform(embedding, x -> isnan(x)), true)
+), pairs AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.code, c.code), z -> CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS distance
+  FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 20 = 0
+), nearest AS (
+  SELECT query_id, vec_id, min(distance) AS distance FROM pairs GROUP BY 1, 2
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM nearest
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk_search": TOPK_SQL}

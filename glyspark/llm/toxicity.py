@@ -272,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float =
     return Model(chosen, fit_logistic([r[0] for r in got], np.array([r[2] for r in got], float), swapped, len(chosen), penalty))
 
 
-def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
+def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; carry adds the whole row as struct `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -298,13 +298,21 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
                 pair = np.unique(np.repeat(doc[some], reps) * k + feature)
                 score[lo:hi] += np.bincount(pair // k, weights=m.weights[pair % k], minlength=hi - lo)
             score = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            out = [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(3)] * carry, names=names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~is_learnable(F.col("doc_id"))).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    names = ["doc_id", "held_out", "score", "predicted"] + ["row"] * carry
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~is_learnable(F.col("doc_id"))).alias("held_out"), *([whole] if carry else []))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int"
+    return source.mapInArrow(run, schema + f", row {source.schema['row'].dataType.simpleString()}" if carry else schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train on the labelled rows that are not held out and score all rows."""
     return predict(docs, train(docs, labels), threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not predicted toxic."""
+    return predict(docs, train(docs, labels), threshold, carry=True).filter("predicted = 0").select("row.*")
