@@ -2,15 +2,15 @@
 
 A logistic model over the presence of lexical features: each word (a run of letters and digits, ASCII
 lower-cased) gives itself, its starts and its ends of a few lengths, as 64-bit hashes. Features are chosen
-by their association with the label, counted over all learnable rows: a fixed-size table of counts first,
-then exact counts of what stands out there.
+by their association with the label: a fixed-size table of counts first, then exact counts of what stands
+out there.
 
 Counterfactual regularisation: in each training text the identity terms are swapped for others of their
 group, and the squared change of the logit is added to the loss; a feature that tells groups apart but not
 toxicity loses its weight, and neutral mentions of a group are not marked.
 
-Training runs in numpy on the driver on a bounded sample of about ROWS learnable rows, of which at most
-FEATURES chosen features are kept each. Labels: a doc_id with several labels counts as toxic if one says
+The model is fitted on a bounded sample, about ROWS learnable rows picked by hash: Spark counts and chooses
+at most FEATURES features, numpy on the driver fits their weights. Labels: a doc_id with several labels counts as toxic if one says
 so; null labels are ignored. Without toxic or without clean learnable rows every score is the share of toxic
 rows. Null and empty texts are scored by the intercept. Repeated rows are scored alike; an empty table
 gives no rows; other columns are ignored.
@@ -38,7 +38,7 @@ IDENTITY = {
 #: Decision threshold on the score.
 THRESHOLD = 0.3
 #: Bounds: sampled rows, chosen features, buckets of the count table, and the chi-square a feature must reach.
-ROWS, FEATURES, BUCKETS, LEAST = 8000, 3000, 1 << 20, 18.0
+ROWS, FEATURES, BUCKETS, LEAST = 20_000, 3000, 1 << 20, 18.0
 STARTS, ENDS = (3, 4, 5, 6), (4, 5)
 
 
@@ -234,15 +234,17 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float = 2.0, groups=None) -> Model:
     """Fit on the learnable rows of docs (doc_id, text) that labels (doc_id, toxic) marks."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.least(F.greatest("toxic", F.lit(0)), F.lit(1))).alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(is_learnable(F.col("doc_id")))
-    known = texts.join(marks.filter(is_learnable(F.col("doc_id"))), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)).alias("at"))
+    marks = marks.filter(is_learnable(F.col("doc_id"))).withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)))
+    # The same hash picks labels and texts, so that no text is shuffled; about `rows` labels are left to broadcast.
+    share = int(1_000_000 * min(1.0, rows / max(marks.count(), 1))) + 1
     work = Workspace(docs.sparkSession, "toxicity")
-    known = work.save(known, "known")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
+    known = work.save(texts.join(F.broadcast(marks.filter(F.col("at") < share).select("doc_id", "toxic")), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic")), "known")
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == total:
         p = min(max(toxic / total if total else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.array([np.log(p / (1 - p))]))
-    chosen = choose_features(known.select("text", "toxic"), total, toxic)
+    chosen = choose_features(known, total, toxic)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def rows_of(batches):
@@ -263,8 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float =
                         out_c.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(out_c, pa.binary()), batch.column(1)], names=["x", "swapped", "toxic"])
 
-    sample = known.filter(F.col("at") < int(1_000_000 * min(1.0, rows / total))).select("text", "toxic")
-    got = sample.mapInArrow(rows_of, "x binary, swapped binary, toxic long").collect()
+    got = known.mapInArrow(rows_of, "x binary, swapped binary, toxic long").collect()
     work.drop("")
     # In one order whatever the order of tasks, so that the model is the same.
     got = sorted(((bytes(r["x"]), None if r["swapped"] is None else bytes(r["swapped"]), r["toxic"]) for r in got), key=lambda r: (r[0], r[1] or b"", r[2]))
