@@ -237,7 +237,7 @@ def predict(docs: DataFrame, net: Network, carry: bool = False) -> DataFrame:
                     langs.append(model.labels[j])
                     scores.append(float(p[j] / p.sum()))
                 out = [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(out + [batch.column(3).slice(lo, n)] * carry, names=names)
+                yield pa.RecordBatch.from_arrays(out + [c.slice(lo, n) for c in batch.columns[3:]], names=names)
 
     names = ["doc_id", "held_out", "lang_pred", "score"] + ["row"] * carry
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")

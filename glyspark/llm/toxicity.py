@@ -300,7 +300,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry:
                 score[lo:hi] += np.bincount(pair // k, weights=m.weights[pair % k], minlength=hi - lo)
             score = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
             out = [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(3)] * carry, names=names)
+            yield pa.RecordBatch.from_arrays(out + batch.columns[3:], names=names)
 
     names = ["doc_id", "held_out", "score", "predicted"] + ["row"] * carry
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
