@@ -9,7 +9,7 @@ matches before a pair is verified. A pair is held to the smaller l of the two, w
 Steps:
 1. equal sets collapse to one representative (the least doc_id);
 2. prefixes become postings; shingles that no second representative has are dropped;
-3. each document is verified against the least document of the postings it meets most often, which
+3. a document is verified against the least document of the postings if it meets that often, which
    collapses large groups of near copies in linear work;
 4. the multi-match join counts shared prefix shingles of pairs that are not yet in one component and
    verifies those with enough; pairs inside a component cannot change it;
@@ -45,6 +45,10 @@ STRIPE = 1 << 12
 BITS = 1 << 23
 #: Longest extension of a prefix, and the cost of verifying a candidate in postings read.
 MOST, VERIFY = 6, 24
+#: Chance that a shingle without a standing-out frequency is shared, and that a chance partner shares one more.
+CHANCE, AGAIN = 0.05, 0.02
+#: Share of a document's prefix that its head must hold to be verified first.
+HEAD = 0.25
 
 
 def overlap(n):
@@ -55,13 +59,17 @@ def overlap(n):
 def adaptive_length(freq: np.ndarray, n: int) -> int:
     """The cheapest l for a set whose ordered shingles have these estimated frequencies (others only).
 
-    Reading the l-prefix's postings costs their number; at most postings / l candidates have l matches,
-    and each costs a verification.
+    Reading the l-prefix costs its postings. What its frequent shingles meet comes in passages, so at most
+    postings / l documents have l matches; what the rest meets by chance rarely meets twice. Each candidate
+    costs a verification.
     """
     need = int(overlap(n))
     top = min(MOST, need)
-    read = np.cumsum(freq[: n - need + top])
-    return int(min(range(1, top + 1), key=lambda l: (read[n - need + l - 1] * (1 + VERIFY / l), l)))
+    end = n - need + np.arange(top)  # last place of each l-prefix
+    l = np.arange(1, top + 1)
+    heavy = np.cumsum(freq)[end]
+    cost = end + heavy + VERIFY * (heavy / l + CHANCE * (end + 1) * AGAIN ** (l - 1))
+    return int(l[cost.argmin()])
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -142,7 +150,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH) -> DataFra
                     # Only what stands out from the sketch's load tells frequencies apart.
                     f = np.where(f > 2 * load, f, load)
                     order = np.lexsort((s, f))
-                    l = adaptive_length(np.maximum(f[order] - load - 1, 0) + 0.05, n)
+                    l = adaptive_length(np.maximum(f[order] - load - 1, 0).astype(float), n)
                     row.append(lo + k)
                     ns.append(n)
                     ls.append(l)
@@ -235,7 +243,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     work.free()
 
     # 3. One verification per document: against the head it meets most often.
-    votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"))
+    votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("l").alias("l"))
+    votes = votes.filter(F.col("votes") >= HEAD * (F.col("n") - F.ceil(F.col("n") * F.lit(SHARE) / F.lit(WHOLE)) + F.col("l")))
     best = votes.groupBy("rep").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
     links = verified(work.save(best.select(F.col("rep").alias("a"), F.col("head").alias("b")), "pairs1"), docs, work, "links1", width)
     first = work.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work, "cc1_"), "first")
