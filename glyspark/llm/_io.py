@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -86,6 +88,14 @@ def byte_chunks(offsets: np.ndarray, most: int = 1 << 20):
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give memory of finished batches back; workers are reused for many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def binary_column(parts: list[bytes]) -> pa.Array:
