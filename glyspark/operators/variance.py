@@ -32,13 +32,14 @@ def _components(df: DataFrame, by) -> DataFrame:
 def variance_components(df: DataFrame, by=BY) -> DataFrame:
     """Total, between-day and within-day variance; the latter as pattern, interaction and residual; percentages and roots.
 
-    A negative residual is 0 if it is below a hundredth of the total, else it is taken from the interaction.
+    A negative residual is 0 if it is below a hundredth of the total, else it is taken from the interaction; one
+    that is only rounding is 0.
     """
     v = _components(df, by)
     c = F.col
     v = v.withColumn("intradia", c("total") - c("interdia")).withColumn("x", c("cells") - c("patron") - c("interdia")).withColumn("r", c("total") - (c("interdia") + c("patron") + c("x")))
     small = F.abs(c("r")) < 0.01 * c("total")
-    v = v.withColumn("interaccion", F.when((c("r") < 0) & ~small, c("x") - F.abs(c("r"))).otherwise(c("x"))).withColumn("residual", F.when(c("r") < 0, 0.0).otherwise(c("r")))
+    v = v.withColumn("interaccion", F.when((c("r") < 0) & ~small, c("x") - F.abs(c("r"))).otherwise(c("x"))).withColumn("residual", F.when(c("r") < 1e-9 * c("total"), 0.0).otherwise(c("r")))
     for k in ("interdia", "intradia"):
         v = v.withColumn(f"porcentaje_{k}", F.coalesce(F.try_divide(c(k), F.nullif(c("total"), F.lit(0.0))) * 100, F.lit(0.0)))
     inner = {k: F.when(c("intradia") > 0, c(k) / c("intradia") * 100).otherwise(0.0) for k in PARTS}
