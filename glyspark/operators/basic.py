@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import expr as X
@@ -19,53 +21,45 @@ def _percentile(p: float) -> Column:
     return F.percentile(G(), F.lit(p / 100))
 
 
-#: Row-grain metrics by name.
-METRICS: dict[str, Column] = {}
-
-
-def _register() -> None:
-    METRICS.update(
-        n=F.count(F.lit(1)),
-        mean=F.avg(G()),
-        median=_percentile(50),
-        sd=F.stddev_samp(G()),
-        cv=_cv(),
-        gmi=X.half_even(F.lit(3.31) + F.lit(0.02392) * F.avg(G())),
-        skewness=X.skewness(G()),
-        kurtosis=X.kurtosis(G()),
-        p5=_percentile(5),
-        p25=_percentile(25),
-        p75=_percentile(75),
-        p95=_percentile(95),
-        TIR=X.percent(X.between(70, 180)),
-        TIR_tight=X.percent(X.between(70, 140)),
-        TIR_pregnancy=X.percent(X.between(63, 140)),
-        TAR250=X.percent(G() > 250),
-        TAR180=X.percent(X.between(180, 250)),
-        TAR140=X.percent(X.between(140, 250)),
-        TBR70=X.percent(X.between(55, 70)),
-        TBR63=X.percent(G() < 63),
-        TBR55=X.percent(G() < 55),
-        j_index=F.lit(0.001) * F.pow(F.avg(G()) + F.stddev_samp(G()), 2),
-        m_value=X.half_even(F.avg(X.m_term(G()))),
-        lbgi=F.avg(X.low_risk(G())),
-        hbgi=F.avg(X.high_risk(G())),
-        grade_score=F.avg(X.grade(G())),
-    )
+#: Row-grain metrics by name; each makes an aggregate.
+METRICS: dict[str, Callable[[], Column]] = {
+    "n": lambda: F.count(F.lit(1)),
+    "mean": lambda: F.avg(G()),
+    "median": lambda: _percentile(50),
+    "sd": lambda: F.stddev_samp(G()),
+    "cv": _cv,
+    "gmi": lambda: X.half_even(F.lit(3.31) + F.lit(0.02392) * F.avg(G())),
+    "skewness": lambda: X.skewness(G()),
+    "kurtosis": lambda: X.kurtosis(G()),
+    "p5": lambda: _percentile(5),
+    "p25": lambda: _percentile(25),
+    "p75": lambda: _percentile(75),
+    "p95": lambda: _percentile(95),
+    "TIR": lambda: X.percent(X.between(70, 180)),
+    "TIR_tight": lambda: X.percent(X.between(70, 140)),
+    "TIR_pregnancy": lambda: X.percent(X.between(63, 140)),
+    "TAR250": lambda: X.percent(G() > 250),
+    "TAR180": lambda: X.percent(X.between(180, 250)),
+    "TAR140": lambda: X.percent(X.between(140, 250)),
+    "TBR70": lambda: X.percent(X.between(55, 70)),
+    "TBR63": lambda: X.percent(G() < 63),
+    "TBR55": lambda: X.percent(G() < 55),
+    "j_index": lambda: F.lit(0.001) * F.pow(F.avg(G()) + F.stddev_samp(G()), 2),
+    "m_value": lambda: X.half_even(F.avg(X.m_term(G()))),
+    "lbgi": lambda: F.avg(X.low_risk(G())),
+    "hbgi": lambda: F.avg(X.high_risk(G())),
+    "grade_score": lambda: F.avg(X.grade(G())),
+}
 
 
 def metric(name: str) -> Column:
     """The aggregate of a registered metric."""
-    if not METRICS:
-        _register()
     if name not in METRICS:
         raise ValueError(f"unknown metric {name}; known: {', '.join(METRICS)}")
-    return METRICS[name].alias(name)
+    return METRICS[name]().alias(name)
 
 
 def names() -> list[str]:
-    if not METRICS:
-        _register()
     return list(METRICS)
 
 

@@ -61,7 +61,7 @@ def conga(df: DataFrame, hours: float | list[float] = 4, by=BY, max_gap_minutes:
 
 def weekly_lability(df: DataFrame, interval: int = 1, by=BY, by_year: bool = False) -> DataFrame:
     """Sum of squared changes between readings `interval` rows apart, per ISO week."""
-    keys = [F.weekofyear("time").alias("week"), *([F.year(X.period("W-ISO")).alias("year")] if by_year else [])]
+    keys = [F.weekofyear("time").alias("week"), *([F.year(F.date_add(X.period("W-ISO"), 3)).alias("year")] if by_year else [])]
     rows = df.select(*by, "time", G().alias("g"), *keys)
     part = [*by, "week", *(["year"] if by_year else [])]
     change = F.lead("g", interval).over(Window.partitionBy(*part).orderBy("time")) - F.col("g")
