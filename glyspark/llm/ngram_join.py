@@ -256,9 +256,12 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = work.save(rows.join(spread, "token", "left_semi").select("token", "rep", "n", "l", "pos", "component"), "open")
     a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "l", "pos", "component"))) for s in "ab")
     l = F.least("l_a", "l_b")
+    # The overlap that these two sizes need; a prefix leaves no more places than that allows to miss, and l.
+    both = F.col("n_a") + F.col("n_b")
+    least = F.ceil(both * F.lit(SHARE) / F.lit(SHARE + WHOLE))
 
     def inside(s: str):
-        return F.col(f"pos_{s}") < F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * F.lit(SHARE) / F.lit(WHOLE)) + l
+        return F.col(f"pos_{s}") < F.col(f"n_{s}") - least + l
 
     met = a.join(b, (a["token"] == b["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * SHARE) & inside("a") & inside("b"))
     pairs = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(l).alias("l")).filter("shared >= l").select("a", "b")

@@ -85,11 +85,11 @@ TOPK_SQL = """
 WITH size AS (
   SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
 ), codes AS (
-  SELECT DISTINCT vec_id AS id, list_transform(embedding, x -> x > 0) AS code
+  SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS code
   FROM embeddings, size
-  WHERE vec_id IS NOT NULL AND len(embedding) = d AND list_count(embedding) = d AND NOT list_contains(list_transform(embedding, x -> isnan(x)), true)
+  WHERE vec_id IS NOT NULL AND len(embedding) = d AND list_count(embedding) = d AND NOT list_contains(list_transform(embedding, lambda x: isnan(x)), true)
 ), pairs AS (
-  SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.code, c.code), z -> CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS distance
+  SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.code, c.code), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS distance
   FROM codes q JOIN codes c ON q.id <> c.id WHERE q.id % 20 = 0
 ), nearest AS (
   SELECT query_id, vec_id, min(distance) AS distance FROM pairs GROUP BY 1, 2
