@@ -13,7 +13,7 @@ the graph of patterns and instances in rounds:
 Candidates of confident instances become spans; base spans always stay.
 
 Null text counts as empty (no spans). Repeated rows and null ids keep their rows. Contexts do not cross
-texts. An empty table gives no rows. Other columns are ignored unless named in `carry`.
+texts. An empty table gives no rows. Other columns are ignored, or carried along whole.
 """
 
 from __future__ import annotations
@@ -132,10 +132,8 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def scan(docs: DataFrame, work: Workspace, carry: list[str]) -> DataFrame:
-    """One row per input row: key, doc_id, base spans, candidates with contexts, and the columns in `carry`."""
-    kinds = dict(docs.dtypes)
-    fields = [docs.schema[c] for c in carry]
+def scan(docs: DataFrame, work: Workspace, carry: bool) -> DataFrame:
+    """One row per input row: key, doc_id, base spans, candidates with contexts; carry adds the whole row as struct `row`."""
     span = "array<struct<kind:string,start:int,stop:int,instance:string,contexts:array<string>>>"
 
     def run(batches):
@@ -148,10 +146,13 @@ def scan(docs: DataFrame, work: Workspace, carry: list[str]) -> DataFrame:
                     spans, cards = base_spans(text)
                     base.append([_entry(text, s) for s in spans])
                     loose.append([_entry(text, s) for s in candidates(text, spans, cards)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(base, _SPANS), pa.array(loose, _SPANS), *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(carry)))], names=["doc_id", "base", "loose", *(f"c_{c}" for c in carry)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(base, _SPANS), pa.array(loose, _SPANS), *(c.slice(lo, hi - lo) for c in batch.columns[2:])], names=names)
 
-    schema = f"doc_id {kinds['doc_id']}, base {span}, loose {span}" + "".join(f", `c_{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c_{c}") for c in carry)).mapInArrow(run, schema)
+    names = ["doc_id", "base", "loose"] + ["row"] * carry
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *([whole] if carry else []))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, base {span}, loose {span}" + (f", row {source.schema['row'].dataType.simpleString()}" if carry else "")
+    out = source.mapInArrow(run, schema)
     # Written with the rows, the key stays theirs.
     return work.save(out.withColumn("key", F.monotonically_increasing_id()), "scanned")
 
@@ -235,10 +236,10 @@ def bootstrap(scanned: DataFrame, counts: np.ndarray, work: Workspace, rounds: i
     return final.filter(~F.col("seed") & (F.col("confidence") >= confident)).select("kind", "instance", "confidence")
 
 
-def find_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, base and all spans (arrays of kind, start, stop), each by kind as listed and start, and carried columns."""
+def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, base and all spans (arrays of kind, start, stop), each by kind as listed and start; carry adds the row."""
     work = Workspace(docs.sparkSession, "pii")
-    scanned = scan(docs, work, carry or [])
+    scanned = scan(docs, work, carry)
     accepted = bootstrap(scanned, context_counts(docs), work)
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     slim = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
@@ -246,8 +247,7 @@ def find_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     every = F.concat(F.col("base"), F.coalesce("extra", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
     every = F.array_sort(F.transform(every, lambda x: F.struct(order[x["kind"]].alias("k"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     every = F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    kept = [F.col(f"`c_{c}`").alias(c) for c in carry or [] if c != "doc_id"]
-    return scanned.withColumn("base", slim).join(extra, "key", "left").select("doc_id", "base", every.alias("spans"), *kept)
+    return scanned.withColumn("base", slim).join(extra, "key", "left").select("doc_id", "base", every.alias("spans"), *(["row"] if carry else []))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """find_spans(carry=[..., 'text', ...]) with every span of the text replaced by its kind in brackets.
+    """The rows of find_spans(carry=True) with every span of their text replaced by its kind in brackets.
 
     Spans that overlap are replaced together, under the kind of the first.
     """
@@ -288,22 +288,23 @@ def redact(found: DataFrame) -> DataFrame:
             out.append("".join(parts) + text[at:])
         return out
 
-    kept = [c for c in found.columns if c not in ("base", "spans")]
-    place = kept.index("text")
+    row = found.schema["row"].dataType
+    place = row.names.index("text")
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(k) for k in range(len(kept))]
-            cols[place] = pa.array(clean(cols[place].to_pylist(), batch.column(len(kept)).to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=kept)
+            cols = batch.columns[:-1]
+            cols[place] = pa.array(clean(cols[place].to_pylist(), batch.columns[-1].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=row.names)
 
-    schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in kept)
-    return found.select(*kept, "spans").mapInArrow(run, schema)
+    flat = found.select(*(F.col("row").getField(f.name).cast("string" if k == place else f.dataType).alias(f"c{k}") for k, f in enumerate(row.fields)), "spans")
+    schema = ", ".join(f"`{f.name}` {'string' if k == place else f.dataType.simpleString()}" for k, f in enumerate(row.fields))
+    return flat.mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data in `text` replaced, and `n_chars`, if there, brought in line."""
-    out = redact(find_spans(docs, carry=docs.columns))
+    out = redact(find_spans(docs, carry=True))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
