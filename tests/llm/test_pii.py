@@ -83,7 +83,7 @@ def test_patterns_of_common_words_do_not_vouch(spark):
 
 
 def test_redaction(spark):
-    rows = [(1, "write a@b.cd or +1 (555) 555-1234."), (2, None), (3, "nothing"), (4, "+41111111111111111 x")]
+    rows = [(1, "write a@b.cd or +1 (555) 555-1234."), (2, None), (3, "nothing"), (4, "card 4111 1111-1111 1111 x")]
     df = clashing(docs(spark, rows))
     got = P.redacted(df)
     assert got.columns == df.columns
