@@ -21,7 +21,7 @@ from ._io import Workspace, byte_chunks, text_buffers
 from ._tokens import byte_letters, default_path
 
 #: Distinct words kept per worker; the cache holds results only and never changes them.
-CACHE = 400_000
+CACHE = 800_000
 _NONE = 1 << 62
 
 
@@ -81,29 +81,48 @@ class WordBpe:
         self._library = None
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Merge until no adjacent pair has a rank."""
+        """Merge until no adjacent pair has a rank.
+
+        SegmentTree's steps, written out, as this runs once for every distinct word.
+        """
         n = len(symbols)
         if n < 2:
             return symbols
-        nothing = (_NONE, -1)
-        get = self.merges.get
-        ids = list(symbols)
+        get, none, ids = self.merges.get, _NONE, list(symbols)
+        size = 1 << (n - 2).bit_length()
+        node = [none] * (2 * size)
+        for i in range(n - 1):
+            if found := get((ids[i], ids[i + 1])):
+                node[size + i] = found[0] << 32 | i
+        for k in range(size - 1, 0, -1):
+            a, b = node[2 * k], node[2 * k + 1]
+            node[k] = a if a <= b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = SegmentTree([get((ids[i], ids[i + 1]), nothing)[0] for i in range(n - 1)])
-        while (i := tree.least()) >= 0:
+        while (top := node[1]) < none:
+            i = top & 0xFFFFFFFF
             j = after[i]
             ids[i] = get((ids[i], ids[j]))[1]
             k = after[i] = after[j]
             ids[j] = -1
-            if j < n - 1:
-                tree.set(j, _NONE)
+            # Three leaves change: the merged symbol's, its left neighbour's, and that of the one it took in.
+            node[size + i] = node[size + j if j < n - 1 else size + i] = none
             if k < n:
                 before[k] = i
-                tree.set(i, get((ids[i], ids[k]), nothing)[0])
-            else:
-                tree.set(i, _NONE)
+                if found := get((ids[i], ids[k])):
+                    node[size + i] = found[0] << 32 | i
             if (h := before[i]) >= 0:
-                tree.set(h, get((ids[h], ids[i]), nothing)[0])
+                found = get((ids[h], ids[i]))
+                node[size + h] = found[0] << 32 | h if found else none
+            for leaf in (i, j, h):
+                if 0 <= leaf < n - 1:
+                    at = (size + leaf) >> 1
+                    while at:
+                        a, b = node[2 * at], node[2 * at + 1]
+                        low = a if a <= b else b
+                        if node[at] == low:
+                            break
+                        node[at] = low
+                        at >>= 1
         return [x for x in ids if x >= 0]
 
     def word_ids(self, word: str) -> list[int]:
@@ -131,7 +150,9 @@ class WordBpe:
         except KeyError:
             pass
         if len(cache) > CACHE:
-            cache.clear()
+            # Words met first are the common ones; they stay.
+            for w in list(cache)[CACHE // 4 :]:
+                del cache[w]
         for w in set(words):
             if w not in cache:
                 ids = self.word_ids(w)
