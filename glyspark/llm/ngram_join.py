@@ -1,14 +1,19 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document is its set of distinct five-word shingles. Shingles are ordered by their frequency in all
-documents (a fixed-size count sketch, summed by Spark), rarest first. Two sets with Jaccard similarity
-of at least t share so many shingles that their l-prefixes, the first n - ceil(t * n) + l shingles,
-share at least l. Each document picks its own l: a longer prefix costs more postings but asks for more
-matches before a pair is verified. A pair is held to the smaller l of the two, which both prefixes cover.
+A document is its set of distinct five-word shingles. All shingles have one global order: first those of a
+hash-sampled universe, rarest first by their exact number of sets, then the others by hash. Two sets with
+Jaccard similarity of at least t share so many shingles that their l-prefixes, the first n - ceil(t * n) + l
+shingles, share at least l. Each document picks its own l: a longer prefix costs more postings but asks for
+more matches before a pair is verified. A pair is held to the smaller l of the two, which both prefixes cover.
+
+The universe holds a little more than a prefix's share of all shingles, so prefixes rarely reach beyond it,
+and only its shingles need counting. Most texts fill their prefix with shingles that no other set has; these
+take places but make no postings, so that chance matches of unrelated texts hardly arise.
 
 Steps:
 1. equal sets collapse to one representative (the least doc_id);
-2. prefixes become postings; shingles that no second representative has are dropped;
+2. the universe's shingles are counted over all sets; those of two sets at least become postings with
+   their places in the prefix;
 3. a document is verified against the least document of the postings if it meets that often, which
    collapses large groups of near copies in linear work;
 4. the multi-match join counts shared prefix shingles of pairs that are not yet in one component and
@@ -16,7 +21,7 @@ Steps:
 5. components of all verified links.
 
 No group is expanded into all its pairs, no posting is capped, and what is broadcast has a fixed size
-(the sketch and a bit map).
+(a bit map).
 
 A null or empty text, or one without words, has no shingles, size 0, and links with nothing. Rows that
 repeat a doc_id with other text are sets of their own with that id; null ids take part in no link and
@@ -38,15 +43,12 @@ from .components import components
 WIDTH = 5
 #: The similarity as a ratio of whole numbers.
 SHARE, WHOLE = 80, 100
-#: Counters of the frequency sketch, and rows it is sent in.
-SKETCH = 1 << 20
-STRIPE = 1 << 12
+#: The universe: shingles whose hash is below NEAR in its last GRAIN values.
+GRAIN, NEAR = 1 << 16, round(0.27 * (1 << 16))
 #: Bits of the map of documents that need verification.
 BITS = 1 << 23
 #: Longest extension of a prefix, and the cost of verifying a candidate in postings read.
-MOST, VERIFY = 6, 24
-#: Chance that a shingle without a standing-out frequency is shared, and that a chance partner shares one more.
-CHANCE, AGAIN = 0.05, 0.02
+MOST, VERIFY = 8, 24
 #: Share of a document's prefix that its head must hold to be verified first.
 HEAD = 0.25
 
@@ -56,20 +58,12 @@ def overlap(n):
     return -(-SHARE * n // WHOLE)
 
 
-def adaptive_length(freq: np.ndarray, n: int) -> int:
-    """The cheapest l for a set whose ordered shingles have these estimated frequencies (others only).
+def adaptive_length(postings, l):
+    """Cost of prefix extension l for a set whose l-prefix has that many postings of other sets.
 
-    Reading the l-prefix costs its postings. What its frequent shingles meet comes in passages, so at most
-    postings / l documents have l matches; what the rest meets by chance rarely meets twice. Each candidate
-    costs a verification.
+    All are read; at most postings / l sets have l matches, and each of them costs a verification.
     """
-    need = int(overlap(n))
-    top = min(MOST, need)
-    end = n - need + np.arange(top)  # last place of each l-prefix
-    l = np.arange(1, top + 1)
-    heavy = np.cumsum(freq)[end]
-    cost = end + heavy + VERIFY * (heavy / l + CHANCE * (end + 1) * AGAIN ** (l - 1))
-    return int(l[cost.argmin()])
+    return postings * (1 + VERIFY / l)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -88,95 +82,86 @@ def _sets_of(batch, width):
         yield lo, hi, shingle_sets(part, offsets[lo : hi + 1] - offsets[lo], width)
 
 
+def _near(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(GRAIN - 1)) < np.uint64(NEAR)
+
+
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set."""
+    """doc_id, n_shingles, how many of them lie in the universe, and a 128-bit digest of the set."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, sets in _sets_of(batch, width):
-                digest = [_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+                cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([int(_near(s).sum()) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], names=["doc_id", "n_shingles", "near", "digest"])
 
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, near long, digest binary")
 
-def frequency_sketch(docs: DataFrame, width: int = WIDTH, size: int = SKETCH) -> np.ndarray:
-    """How many documents have a shingle of each sketch bucket, over all documents; `size` counts."""
-    stripe = min(STRIPE, size)
-
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for _, _, sets in _sets_of(batch, width):
-                if any(map(len, sets)):
-                    total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        rows = total.reshape(-1, stripe)
-        at = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([rows[i].astype("<i8").tobytes() for i in at], pa.binary())], names=["stripe", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = np.frombuffer(c.as_buffer(), "<i8")
-                total[i] = total[i] + c if i in total else c
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["stripe", "counts"])
 
-    schema = "stripe int, counts binary"
-    parts = _texts(docs).mapInArrow(count, schema).repartition(16, "stripe").mapInArrow(add, schema)
-    out = np.zeros(size, np.int64)
-    for r in parts.toLocalIterator():  # `size` counts, whatever the input
-        out[r["stripe"] * stripe : (r["stripe"] + 1) * stripe] = np.frombuffer(r["counts"], "<i8")
-    return out
-
-
-def postings(docs: DataFrame, sketch: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest, n, l and the ordered prefix (binary) of every document with shingles."""
-    load = int(np.median(sketch))
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+def universe_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, digest, near and the shingles (binary) that its prefix may hold: all `near` ones of the universe, and
+    where these are too few for the longest prefix, the first others by hash."""
 
     def run(batches):
-        freq = shared.value
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, sets in _sets_of(batch, width):
-                row, ns, ls, digest, prefix = [], [], [], [], []
+                row, near, digest, held = [], [], [], []
                 for k, s in enumerate(sets):
                     n = len(s)
                     if not n:
                         continue
-                    f = freq[(s & np.uint64(len(freq) - 1)).astype(np.int64)]
-                    # Only what stands out from the sketch's load tells frequencies apart.
-                    f = np.where(f > 2 * load, f, load)
-                    order = np.lexsort((s, f))
-                    l = adaptive_length(np.maximum(f[order] - load - 1, 0).astype(float), n)
+                    mask = _near(s)
+                    own = s[mask]
+                    short = n - int(overlap(n)) + MOST - len(own)
                     row.append(lo + k)
-                    ns.append(n)
-                    ls.append(l)
+                    near.append(len(own))
                     digest.append(_digest(s))
-                    prefix.append(s[order[: n - int(overlap(n)) + l]].tobytes())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(ns, pa.int64()), pa.array(ls, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], names=["doc_id", "n", "l", "digest", "prefix"])
+                    held.append((np.concatenate([own, s[~mask][:short]]) if short > 0 else own).tobytes())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(digest, pa.binary()), pa.array(near, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "digest", "near", "held"])
 
-    return _texts(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n long, l int, digest binary, prefix binary")
+    return _texts(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, near long, held binary")
 
 
-def _exploded(prefixes: DataFrame) -> DataFrame:
-    """One posting (token, rep, n, l, pos) per prefix shingle; Arrow batches, sliced to bound memory."""
+def _exploded(held: DataFrame) -> DataFrame:
+    """One row (token, rep, far) per shingle; far: its place among those beyond the universe, else -1."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3)]
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
                 if not parts:
                     continue
                 many = np.array([len(p) for p in parts])
-                begin = np.repeat(np.cumsum(many) - many, many)
-                cols = [np.repeat(b.column(k).to_numpy(zero_copy_only=False), many) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), *map(pa.array, cols), pa.array((np.arange(len(begin)) - begin).astype(np.int32))], names=["token", "rep", "n", "l", "pos"])
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rep, near = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), many) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(rep), pa.array(np.where(place < near, -1, place - near).astype(np.int32))], names=["token", "rep", "far"])
+
+    return held.select("rep", "near", "held").mapInArrow(run, "token long, rep long, far int")
 
-    return prefixes.select("rep", "n", "l", "prefix").mapInArrow(run, "token long, rep long, n long, l int, pos int")
+
+def postings(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(token, rep, n, l, pos, id) of the shingles in each document's l-prefix that another set has too.
+
+    shared: (token, rep, far, f) with f >= 2 sets; sizes: (rep, n, near, id). A document's shingles of the
+    universe that are not in `shared` are its own alone and come first.
+    """
+    whole = Window.partitionBy("rep")
+    rows = shared.join(sizes, "rep")
+    inside = (F.col("far") < 0).cast("long")
+    rank = F.row_number().over(whole.orderBy("far", "f", "token"))
+    rows = rows.withColumn("lone", F.col("near") - F.sum(inside).over(whole))
+    # Rows of the universe come first in the window, as their `far` is -1.
+    rows = rows.withColumn("pos", F.when(F.col("far") < 0, F.col("lone") + rank - 1).otherwise(F.col("near") + F.col("far")))
+    rows = rows.withColumn("miss", F.col("n") - F.ceil(F.col("n") * F.lit(SHARE) / F.lit(WHOLE))).filter(F.col("pos") < F.col("miss") + MOST)
+    costs = []
+    for l in range(1, MOST + 1):
+        met = F.sum(F.when(F.col("pos") < F.col("miss") + l, F.col("f") - 1).otherwise(0)).over(whole)
+        # An extension beyond the overlap itself is impossible.
+        costs.append(F.when(F.col("n") - F.col("miss") >= l, F.struct(adaptive_length(met, l).alias("cost"), F.lit(l).alias("l"))))
+    rows = rows.withColumn("l", F.array_min(F.array(*costs))["l"])
+    return rows.filter(F.col("pos") < F.col("miss") + F.col("l")).select("token", "rep", "n", "l", "pos", "id")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -189,21 +174,21 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, width: int = WIDTH) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose sets are similar; sets are computed for their documents alone."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, width: int = WIDTH) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets are similar, as ids; sets are computed for their documents alone."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes.join(classes, "node").select(F.col("rep").alias("id"))))
 
     def build(batches):
         wanted = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
             for lo, hi, sets in _sets_of(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "words"])
 
     hashed = _texts(docs).filter("doc_id IS NOT NULL").select("*", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"))
     # Rows that repeat an id and its text count once.
-    sets = hashed.mapInArrow(build, "id long, digest binary, words binary").dropDuplicates(["id", "digest"])
+    sets = hashed.mapInArrow(build, "rep long, digest binary, words binary").join(classes.select("rep", "digest", "node"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
 
     def hold(batches):
         for batch in batches:
@@ -216,9 +201,9 @@ def verified(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, widt
                 keep.append(WHOLE * both >= SHARE * (len(a) + len(b) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return work.save(both.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long").distinct(), name)
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x"), F.col("rep").alias("id_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y"), F.col("rep").alias("id_b")), "b")
+    return work.save(both.select("id_a", "id_b", "x", "y").mapInArrow(hold, "a long, b long").distinct(), name)
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -227,31 +212,34 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     work = Workspace(spark, "ngram")
     # Ids alone may repeat with other texts; a document is then known by its id and digest.
     sigs = work.save(signatures(docs, width), "signatures")
-    classes = work.save(sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    sketch = frequency_sketch(docs, width)
-    prefixes = postings(docs, sketch, width).withColumnRenamed("doc_id", "rep").join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
-    posted = work.save(_exploded(prefixes), "postings")
-    del prefixes
+    classes = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("near").alias("near"))
+    # A set's node is its representative; where an id stands for several texts, a number of their own for the others.
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
+    classes = work.save(classes.withColumn("node", F.when(nth == 1, F.col("rep")).otherwise(-F.pmod(F.xxhash64("digest"), F.lit(1 << 62)) - 2)), "classes")
+    sizes = classes.select(F.col("node").alias("rep"), "n", "near", F.col("rep").alias("id"))
+    held = universe_shingles(docs, width).withColumnRenamed("doc_id", "rep").join(classes.select("rep", "digest", "node"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
+    held = work.save(_exploded(held.withColumn("rep", F.col("node"))), "held")
     work.free()
-    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("token")
-    shared = work.save(posted.join(often, "token", "left_semi"), "often")
-    work.drop("postings")
+    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = work.save(held.join(often, "token"), "often")
+    work.drop("held")
     work.free()
-    heads = shared.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("token", "head")
-    shared = work.save(shared.join(heads, "token"), "shared")
-    work.drop("often")
+    posted = work.save(postings(shared, sizes), "posted")
+    heads = posted.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("token", "head")
+    shared = work.save(posted.join(heads, "token"), "shared")
+    work.drop("often", "posted")
     work.free()
 
     # 3. One verification per document: against the head it meets most often.
     votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("l").alias("l"))
     votes = votes.filter(F.col("votes") >= HEAD * (F.col("n") - F.ceil(F.col("n") * F.lit(SHARE) / F.lit(WHOLE)) + F.col("l")))
     best = votes.groupBy("rep").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
-    links = verified(work.save(best.select(F.col("rep").alias("a"), F.col("head").alias("b")), "pairs1"), docs, work, "links1", width)
+    links = verified(work.save(best.select(F.col("rep").alias("a"), F.col("head").alias("b")), "pairs1"), docs, classes, work, "links1", width)
     first = work.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work, "cc1_"), "first")
 
     work.free()
     # 4. The multi-match join over pairs that are not in one component yet.
-    rows = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rows = work.save(rows.join(spread, "token", "left_semi").select("token", "rep", "n", "l", "pos", "component"), "open")
     a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "l", "pos", "component"))) for s in "ab")
@@ -265,7 +253,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     met = a.join(b, (a["token"] == b["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * SHARE) & inside("a") & inside("b"))
     pairs = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(l).alias("l")).filter("shared >= l").select("a", "b")
-    more = verified(work.save(pairs, "pairs2"), docs, work, "links2", width)
+    more = verified(work.save(pairs, "pairs2"), docs, classes, work, "links2", width)
 
     work.free()
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))

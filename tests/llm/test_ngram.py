@@ -106,7 +106,18 @@ def test_prefix_lemma(a, b):
         assert need >= max(N.overlap(a), N.overlap(b))
 
 
-def test_lengths_grow_with_cost():
-    light, heavy = np.zeros(100), np.concatenate([np.zeros(18), np.full(82, 500.0)])
-    assert 1 <= N.adaptive_length(light, 100) <= N.MOST and N.adaptive_length(heavy, 100) >= 1
-    assert N.adaptive_length(np.zeros(1), 1) == 1
+def test_an_id_with_several_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    other = [f"v{k}" for k in range(40)]
+    check(spark, [(1, " ".join(words)), (1, " ".join(other)), (2, " ".join(words[:39])), (3, " ".join(other[:38])), (4, "z"), (2, "q")])
+
+
+def test_longer_prefixes_pay_where_postings_are_many():
+    cost = lambda postings, l: N.adaptive_length(postings, l)
+    assert cost(100, 1) > cost(110, 2) > cost(120, 3) and cost(100, 2) < cost(300, 3)
+
+
+def test_many_short_sets_beyond_the_universe(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(9)]
+    check(spark, [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 4, 5, 6, 8])))) for k in range(150)])
