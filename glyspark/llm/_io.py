@@ -30,21 +30,29 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+_open: dict[str, list[Workspace]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders of this application's operators, once their results are not needed any more."""
+    for work in _open.pop(spark.sparkContext.applicationId, []):
+        work.drop("")
+
+
 class Workspace:
     """A folder below spark.checkpoint.dir, which all executors share.
 
     Tables written here cut lineage and survive lost executors. Where the setting
-    is absent (tests, one machine) a folder below the system's temp folder is set.
+    is absent (tests, one machine) the folder lies below the system's temp folder.
+    Results read from it, so it stays until release() or the caller's own clean-up.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.gettempdir()}/spark-checkpoints"
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spark-checkpoints"
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         ship(spark)
+        _open.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back with the schema it had."""

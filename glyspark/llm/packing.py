@@ -31,7 +31,7 @@ from ._tokens import byte_encoder, default_path
 CAPACITY = 1024
 END_ID = 2
 #: Rows aimed at per group of the rank computation.
-GROUP = 20_000
+GROUP = 1000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
