@@ -100,5 +100,49 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+#: All pairs that share a shingle, and reachability by links.
+NGRAM_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), sized AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS rep FROM sets
+), shingles AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sized
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+), low AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, n AS n_shingles, component_id, rep FROM sized JOIN low ON node = doc_id
+"""
+
+#: All pairs by cosine, and reachability by links.
+EMBEDDING_SQL = """
+WITH RECURSIVE size AS (
+  SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, size
+  WHERE len(embedding) = d AND list_count(embedding) = d AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9e0
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+), low AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY 1
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN low ON node = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": TOPK_SQL}
+    return {"op2_topk_search": TOPK_SQL, "op3_ngram_join": NGRAM_SQL, "op5_embedding_dedup": EMBEDDING_SQL}

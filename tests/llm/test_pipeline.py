@@ -43,9 +43,13 @@ def test_run(spark):
     assert got.count() > 0 and set(got.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
 
 
-def test_search_matches_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
-    cols = ["query_id", "rank", "vec_id", "distance"]
-    got = queries.queries()["op2_topk_search"](spark, DATA).toPandas()[cols].sort_values(cols).values.tolist()
-    assert got == con.sql(queries.oracle_sql()["op2_topk_search"]).df()[cols].sort_values(cols).values.tolist()
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    cols = sorted(want.columns)
+    got = queries.queries()[name](spark, DATA).toPandas()
+    assert sorted(got.columns) == cols
+    assert got[cols].sort_values(cols).values.tolist() == want[cols].sort_values(cols).values.tolist()
