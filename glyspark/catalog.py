@@ -148,15 +148,16 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     out["pattern_mean_correlation"] = _on("m5", ST.mean_correlation), O.mean_correlation("m5")
     out["pattern_rms"] = _on("m5", ST.rms_error), O.regression("m5", False)
     out["pattern_loo_rms"] = _on("m5", ST.leave_one_out), O.regression("m5", True)
-    out["pattern_stability"] = _on("m5", ST.pattern_stability), None
+    out["pattern_stability"] = _on("m5", ST.pattern_stability), O.joined(O.ratios("m5"), f"SELECT * EXCLUDE (pairs) FROM ({O.day_correlation('m5')})", O.mean_correlation("m5"), O.regression("m5", False), O.regression("m5", True))
     out["variance_components"] = _on("m5", V.variance_components), O.variance("m5")
     out["variance_segments"] = _on("m5", V.variance_segments), O.variance_segments("m5")
 
     out["mage"] = _on("m5", E.mage), O.mage("m5")
     out["mage_by_user"] = _on("raw", E.mage), O.mage("raw")
     for k in (1, 2, 3):
-        out[f"mage_baghurst_{k}"] = _on("m5", E.mage_baghurst, 1, k), None
-        out[f"excursions_{k}"] = _on("m5", E.excursions, 1, k), None
+        # The pruning of approach 1 is a sequence of dependent passes, which SQL can't express.
+        out[f"mage_baghurst_{k}"] = _on("m5", E.mage_baghurst, 1, k), O.mage_baghurst("m5", k) if k > 1 else None
+        out[f"excursions_{k}"] = _on("m5", E.excursions, 1, k), O.excursions("m5", k) if k > 1 else None
     for k in (1, 2):
         out[f"modd_{k}"] = _on("m5", T.modd, k), O.modd("m5", k)
     out["conga_4"] = _on("m30", T.conga, 4), O.conga("m30", "[4]")

@@ -334,3 +334,52 @@ def week_agp(table: str, width: int = 15) -> str:
     ctes = f"tp AS (SELECT series_id, {WEEKDAY} AS weekday, {DECIMAL} AS time_decimal, {', '.join(f'{q(p / 100)} AS p{p}' for p in (25, 50, 75))} FROM {table} GROUP BY 1, 2, 3), nd AS (SELECT series_id, {WEEKDAY} AS weekday, count(DISTINCT {DAY}) AS days FROM {table} GROUP BY 1, 2)"
     body = f"SELECT *, {', '.join(rolling(n, 'series_id, weekday', 'time_decimal', width) for n in names)} FROM tp JOIN nd USING (series_id, weekday)"
     return final(table, body, ["time_decimal", *names, *(f"{n}_smooth" for n in names)], ["weekday", "days"], ctes)
+
+
+def joined(*queries: str) -> str:
+    """Queries of one row per series side by side."""
+    return "SELECT * FROM " + " JOIN ".join(f"({q_}) q{k}" + (" USING (series_id)" if k else "") for k, q_ in enumerate(queries))
+
+
+def _numbered(table: str) -> str:
+    return f"num AS (SELECT series_id, time, CAST(glucose AS DOUBLE) AS g, row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, stddev_samp(glucose) OVER (PARTITION BY series_id) AS sd FROM {table})"
+
+
+def _points_2(table: str) -> str:
+    return f"""{_numbered(table)},
+ext AS (SELECT * EXCLUDE (a, b) FROM (SELECT *, lag(g) OVER w AS a, lead(g) OVER w AS b FROM num WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE (a < g AND g > b) OR (a > g AND g < b)),
+runs AS (SELECT *, idx - row_number() OVER (PARTITION BY series_id ORDER BY idx) AS run FROM ext),
+odd AS (SELECT * EXCLUDE (run) FROM runs QUALIFY row_number() OVER (PARTITION BY series_id, run ORDER BY idx) % 2 = 1),
+lst AS (SELECT * FROM odd UNION ALL SELECT * FROM num WHERE idx = 0 OR idx = n - 1),
+nb AS (SELECT *, lag(g) OVER w AS a, lead(g) OVER w AS b FROM lst WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+ok AS (SELECT *, coalesce(((a < g AND g > b) OR (a > g AND g < b)) AND (abs(g - a) >= sd OR abs(g - b) >= sd), FALSE) AS keep FROM nb),
+pts AS (SELECT series_id, idx, g, time, sd FROM (SELECT *, bool_or(keep) OVER (PARTITION BY series_id) AS some_kept FROM ok) WHERE keep OR (some_kept AND (idx = 0 OR idx = n - 1)))"""
+
+
+def _points_3(table: str) -> str:
+    """For series whose filter leaves two points at least."""
+    taps = " + ".join(f"{w / 46!r} * " + ("g" if k == 4 else f"lag(g, {4 - k}) OVER w" if k < 4 else f"lead(g, {k - 4}) OVER w") for k, w in enumerate((1, 2, 4, 8, 16, 8, 4, 2, 1)))
+    return f"""{_numbered(table)},
+smo AS (SELECT *, CAST(trunc(CASE WHEN idx >= n - 4 THEN avg(g) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND UNBOUNDED FOLLOWING) WHEN idx < 4 THEN avg(g) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 4 FOLLOWING) ELSE {taps} END) AS INTEGER) AS s FROM num WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+trn AS (SELECT *, coalesce(sign(lead(s) OVER w - s) <> sign(s - lag(s) OVER w), FALSE) AS turn FROM smo WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+str AS (SELECT *, sum(CAST(turn AS INTEGER)) OVER (PARTITION BY series_id ORDER BY idx) AS stretch FROM trn),
+ends AS (SELECT series_id, stretch, lead(arg_min(s, idx)) OVER (PARTITION BY series_id ORDER BY stretch) AS s1, arg_min(s, idx) AS s0 FROM str WHERE stretch > 0 GROUP BY 1, 2),
+pot AS (SELECT str.*, s0 < s1 AS peak FROM str JOIN ends USING (series_id, stretch) WHERE s1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, stretch ORDER BY CASE WHEN s0 < s1 THEN -g ELSE g END, idx) = 1),
+nb AS (SELECT *, lag(g) OVER w AS g0, lead(g) OVER w AS g1, lag(peak) OVER w AS k0, lead(peak) OVER w AS k1 FROM pot WINDOW w AS (PARTITION BY series_id ORDER BY stretch)),
+pts AS (SELECT DISTINCT series_id, idx, g, time, sd FROM nb WHERE k0 IS NULL OR k1 IS NULL OR NOT (k0 = peak OR (k0 <> peak AND k1 <> peak AND CASE WHEN peak THEN g - g0 < sd / 2 OR g - g1 < sd / 2 ELSE g0 - g < sd / 2 OR g1 - g < sd / 2 END)))"""
+
+
+_EXCURSIONS = "exc AS (SELECT * FROM (SELECT series_id, lag(time) OVER w AS start_time, time AS end_time, lag(g) OVER w AS start_value, g AS end_value, abs(g - lag(g) OVER w) AS magnitude, sd FROM pts WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE magnitude >= sd)"
+
+
+def excursions(table: str, approach: int) -> str:
+    ctes = f"{(_points_2 if approach == 2 else _points_3)(table)}, {_EXCURSIONS}"
+    body = "SELECT *, CASE WHEN end_value > start_value THEN 'up' ELSE 'down' END AS direction FROM exc"
+    return final(table, body, ["start_value", "end_value", "magnitude"], ["start_time", "end_time", "direction"], ctes)
+
+
+def mage_baghurst(table: str, approach: int) -> str:
+    ctes = f"{(_points_2 if approach == 2 else _points_3)(table)}, {_EXCURSIONS}, dev AS (SELECT series_id, stddev_samp(glucose) AS sd FROM {table} GROUP BY 1)"
+    mean = lambda c: even(f"coalesce(avg(CASE WHEN {c} THEN magnitude END), 0e0)")
+    body = f"SELECT dev.series_id, any_value({even('dev.sd')}) AS sd_used, any_value({even('dev.sd')}) AS threshold, {mean('end_value > start_value')} AS mage_plus, {mean('end_value <= start_value')} AS mage_minus, {mean('magnitude IS NOT NULL')} AS mage_avg, count(magnitude) AS num_excursions FROM dev LEFT JOIN exc ON exc.series_id = dev.series_id GROUP BY 1"
+    return final(table, body, ["sd_used", "threshold", "mage_plus", "mage_minus", "mage_avg"], ["num_excursions"], ctes)
