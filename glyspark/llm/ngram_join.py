@@ -1,24 +1,23 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document is its set of distinct five-word shingles. All shingles have one global order: first those of a
-hash-sampled universe, rarest first by their exact number of sets, then the others by hash. Two sets with
-Jaccard similarity of at least t share so many shingles that their l-prefixes, the first n - ceil(t * n) + l
-shingles, share at least l. Each document picks its own l: a longer prefix costs more postings but asks for
-more matches before a pair is verified. A pair is held to the smaller l of the two, which both prefixes cover.
-
-The universe holds a little more than a prefix's share of all shingles, so prefixes rarely reach beyond it,
-and only its shingles need counting. Most texts fill their prefix with shingles that no other set has; these
-take places but make no postings, so that chance matches of unrelated texts hardly arise.
+A document is its set of distinct five-word shingles. All shingles have one global order, the rarest first by
+their exact number of sets. Two sets with Jaccard similarity of at least t share so many shingles that their
+l-prefixes, the first n - ceil(t * n) + l shingles, share at least l. Each document picks its own l: a longer
+prefix costs more postings but asks for more matches before a pair is verified. A pair is held to the smaller
+l of the two, which both prefixes cover, and to the overlap that its two sizes need.
 
 Steps:
 1. equal sets collapse to one representative (the least doc_id);
-2. the universe's shingles are counted over all sets; those of two sets at least become postings with
-   their places in the prefix;
-3. a document is verified against the least document of the postings if it meets that often, which
+2. a hash-sampled universe of shingles, a little more than a prefix's share of all, is counted over all sets.
+   A set with more shingles of its own alone than a similar pair may miss has no partner and is done; most
+   are, so that only the others' shingles need counting in full;
+3. among these, shingles of two sets at least become postings with their places in the prefix; those of one
+   set take places but make no postings;
+4. a document is verified against the least document of its postings if it meets that often, which
    collapses large groups of near copies in linear work;
-4. the multi-match join counts shared prefix shingles of pairs that are not yet in one component and
+5. the multi-match join counts shared prefix shingles of pairs that are not yet in one component and
    verifies those with enough; pairs inside a component cannot change it;
-5. components of all verified links.
+6. components of all verified links.
 
 No group is expanded into all its pairs, no posting is capped, and what is broadcast has a fixed size
 (a bit map).
@@ -48,7 +47,7 @@ GRAIN, NEAR = 1 << 16, round(0.27 * (1 << 16))
 #: Bits of the map of documents that need verification.
 BITS = 1 << 23
 #: Longest extension of a prefix, and the cost of verifying a candidate in postings read.
-MOST, VERIFY = 8, 24
+MOST, VERIFY = 8, 4
 #: Share of a document's prefix that its head must hold to be verified first.
 HEAD = 0.25
 
@@ -99,65 +98,71 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def universe_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, digest, near and the shingles (binary) that its prefix may hold: all `near` ones of the universe, and
-    where these are too few for the longest prefix, the first others by hash."""
+    """doc_id, digest and the set's shingles in the universe (binary)."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
             for lo, hi, sets in _sets_of(batch, width):
-                row, near, digest, held = [], [], [], []
-                for k, s in enumerate(sets):
-                    n = len(s)
-                    if not n:
-                        continue
-                    mask = _near(s)
-                    own = s[mask]
-                    short = n - int(overlap(n)) + MOST - len(own)
-                    row.append(lo + k)
-                    near.append(len(own))
-                    digest.append(_digest(s))
-                    held.append((np.concatenate([own, s[~mask][:short]]) if short > 0 else own).tobytes())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(digest, pa.binary()), pa.array(near, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "digest", "near", "held"])
-
-    return _texts(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, near long, held binary")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s[_near(s)].tobytes() for s in sets], pa.binary())], names=["rep", "digest", "words"])
+
+    return _texts(docs).filter("doc_id IS NOT NULL").mapInArrow(run, "rep long, digest binary, words binary")
+
+
+def chosen_sets(docs: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> DataFrame:
+    """doc_id, digest and the whole set (binary) of documents that a bit map of ids lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
+            for lo, hi, sets in _sets_of(batch, width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "words"])
+
+    hashed = _texts(docs).filter("doc_id IS NOT NULL").select("*", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"))
+    return hashed.mapInArrow(run, "rep long, digest binary, words binary")
+
+
+def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, id, words) of the sets that are nodes (rep, digest, node); rows that repeat an id and its text count once."""
+    return sets.join(nodes.select("rep", "digest", "node"), ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("node", F.col("rep").alias("id"), "words")
 
 
 def _exploded(held: DataFrame) -> DataFrame:
-    """One row (token, rep, far) per shingle; far: its place among those beyond the universe, else -1."""
+    """One row (token, rep) per shingle of (node, words)."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
-                if not parts:
-                    continue
-                many = np.array([len(p) for p in parts])
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                rep, near = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), many) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(rep), pa.array(np.where(place < near, -1, place - near).astype(np.int32))], names=["token", "rep", "far"])
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+                if parts:
+                    rep = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(rep)], names=["token", "rep"])
 
-    return held.select("rep", "near", "held").mapInArrow(run, "token long, rep long, far int")
+    return held.select("node", "words").mapInArrow(run, "token long, rep long")
+
+
+def _miss(n="n"):
+    """Shingles that a set of n may lack in any similar one."""
+    return F.col(n) - F.ceil(F.col(n) * F.lit(SHARE) / F.lit(WHOLE))
 
 
 def postings(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """(token, rep, n, l, pos, id) of the shingles in each document's l-prefix that another set has too.
 
-    shared: (token, rep, far, f) with f >= 2 sets; sizes: (rep, n, near, id). A document's shingles of the
-    universe that are not in `shared` are its own alone and come first.
+    shared: (token, rep, f) with f >= 2 sets; sizes: (rep, n, id). A document's other shingles are its own
+    alone and come first.
     """
     whole = Window.partitionBy("rep")
     rows = shared.join(sizes, "rep")
-    inside = (F.col("far") < 0).cast("long")
-    rank = F.row_number().over(whole.orderBy("far", "f", "token"))
-    rows = rows.withColumn("lone", F.col("near") - F.sum(inside).over(whole))
-    # Rows of the universe come first in the window, as their `far` is -1.
-    rows = rows.withColumn("pos", F.when(F.col("far") < 0, F.col("lone") + rank - 1).otherwise(F.col("near") + F.col("far")))
-    rows = rows.withColumn("miss", F.col("n") - F.ceil(F.col("n") * F.lit(SHARE) / F.lit(WHOLE))).filter(F.col("pos") < F.col("miss") + MOST)
+    pos = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("f", "token")) - 1
+    rows = rows.withColumn("pos", pos).withColumn("miss", _miss()).filter(F.col("pos") < F.col("miss") + MOST)
+    # Most partners are of about the same size, so a pair's prefix is shorter than the longest that must be kept.
+    usual = F.col("n") - F.ceil(2 * F.col("n") * F.lit(SHARE) / F.lit(SHARE + WHOLE))
     costs = []
     for l in range(1, MOST + 1):
-        met = F.sum(F.when(F.col("pos") < F.col("miss") + l, F.col("f") - 1).otherwise(0)).over(whole)
+        met = F.sum(F.when(F.col("pos") < usual + l, F.col("f") - 1).otherwise(0)).over(whole)
         # An extension beyond the overlap itself is impossible.
         costs.append(F.when(F.col("n") - F.col("miss") >= l, F.struct(adaptive_length(met, l).alias("cost"), F.lit(l).alias("l"))))
     rows = rows.withColumn("l", F.array_min(F.array(*costs))["l"])
@@ -177,18 +182,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, width: int = WIDTH) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets are similar, as ids; sets are computed for their documents alone."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes.join(classes, "node").select(F.col("rep").alias("id"))))
-
-    def build(batches):
-        wanted = shared.value
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column(2).to_numpy()]))
-            for lo, hi, sets in _sets_of(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "words"])
-
-    hashed = _texts(docs).filter("doc_id IS NOT NULL").select("*", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"))
-    # Rows that repeat an id and its text count once.
-    sets = hashed.mapInArrow(build, "rep long, digest binary, words binary").join(classes.select("rep", "digest", "node"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
+    wanted = _bitmap(nodes.join(classes, "node").select(F.col("rep").alias("id")))
+    sets = _of_nodes(chosen_sets(docs, wanted, width), classes)
 
     def hold(batches):
         for batch in batches:
@@ -201,8 +196,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Worksp
                 keep.append(WHOLE * both >= SHARE * (len(a) + len(b) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x"), F.col("rep").alias("id_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y"), F.col("rep").alias("id_b")), "b")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x"), F.col("id").alias("id_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y"), F.col("id").alias("id_b")), "b")
     return work.save(both.select("id_a", "id_b", "x", "y").mapInArrow(hold, "a long, b long").distinct(), name)
 
 
@@ -216,29 +211,39 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # A set's node is its representative; where an id stands for several texts, a number of their own for the others.
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
     classes = work.save(classes.withColumn("node", F.when(nth == 1, F.col("rep")).otherwise(-F.pmod(F.xxhash64("digest"), F.lit(1 << 62)) - 2)), "classes")
-    sizes = classes.select(F.col("node").alias("rep"), "n", "near", F.col("rep").alias("id"))
-    held = universe_shingles(docs, width).withColumnRenamed("doc_id", "rep").join(classes.select("rep", "digest", "node"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
-    held = work.save(_exploded(held.withColumn("rep", F.col("node"))), "held")
+
+    # 2. Sets with too many universe shingles of their own have no partner.
+    held = work.save(_exploded(_of_nodes(universe_shingles(docs, width), classes)), "held")
+    work.free()
+    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").select("token")
+    met = held.join(often, "token", "left_semi").groupBy(F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+    alive = classes.join(met, "node", "left").filter(F.col("near") - F.coalesce("met", F.lit(0)) <= _miss())
+    alive = work.save(alive.select("node", "rep", "digest", "n"), "alive")
+    work.drop("held")
     work.free()
+
+    # 3. Exact counts over the others' whole sets.
+    held = work.save(_exploded(_of_nodes(chosen_sets(docs, _bitmap(alive.select(F.col("rep").alias("id"))), width), alive)), "whole")
     often = held.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     shared = work.save(held.join(often, "token"), "often")
-    work.drop("held")
+    work.drop("whole")
     work.free()
+    sizes = alive.select(F.col("node").alias("rep"), "n", F.col("rep").alias("id"))
     posted = work.save(postings(shared, sizes), "posted")
     heads = posted.groupBy("token").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("token", "head")
     shared = work.save(posted.join(heads, "token"), "shared")
     work.drop("often", "posted")
     work.free()
 
-    # 3. One verification per document: against the head it meets most often.
+    # 4. One verification per document: against the head it meets most often.
     votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("l").alias("l"))
-    votes = votes.filter(F.col("votes") >= HEAD * (F.col("n") - F.ceil(F.col("n") * F.lit(SHARE) / F.lit(WHOLE)) + F.col("l")))
+    votes = votes.filter(F.col("votes") >= HEAD * (_miss() + F.col("l")))
     best = votes.groupBy("rep").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
     links = verified(work.save(best.select(F.col("rep").alias("a"), F.col("head").alias("b")), "pairs1"), docs, classes, work, "links1", width)
     first = work.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work, "cc1_"), "first")
 
     work.free()
-    # 4. The multi-match join over pairs that are not in one component yet.
+    # 5. The multi-match join over pairs that are not in one component yet.
     rows = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rows = work.save(rows.join(spread, "token", "left_semi").select("token", "rep", "n", "l", "pos", "component"), "open")
