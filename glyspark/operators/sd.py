@@ -153,37 +153,37 @@ def sd_segment(df: DataFrame, start: str, hours: float, by=BY) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.count(inside) == 0, 0.0).otherwise(F.stddev_samp(inside)).alias("sd"), F.coalesce(F.avg(inside), F.lit(0.0)).alias("mean"))
 
 
-def _parts(df: DataFrame, by) -> dict[str, DataFrame]:
-    return {
-        "SDT": sd_total(df, by),
-        "SDw": sd_within_day(df, by),
-        "SDhhmm": sd_between_timepoints(df, by),
-        "noche": sd_segment(df, *SEGMENTS["noche"], by=by),
-        "dia": sd_segment(df, *SEGMENTS["dia"], by=by),
-        "tarde": sd_segment(df, *SEGMENTS["tarde"], by=by),
-        "SDws_1h": sd_within_series(df, 1, by),
-        "SDws_6h": sd_within_series(df, 6, by),
-        "SDws_24h": sd_within_series(df, 24, by),
-        "SDdm": sd_daily_mean(df, by),
-        "SDbhhmm": sd_same_timepoint(df, by),
-        "SDbhhmm_dm": sd_same_timepoint_adjusted(df, by),
-        "SDI": sd_interaction(df, by),
-    }
-
-
 def join_on(left: DataFrame, right: DataFrame, by) -> DataFrame:
     """Left join on the keys; a global result has one row."""
     return left.join(right, list(by), "left") if by else left.crossJoin(F.broadcast(right))
 
 
+FAMILY = ("SDT", "SDw", "SDhhmm", "noche", "dia", "tarde", "SDws_1h", "SDws_6h", "SDws_24h", "SDdm", "SDbhhmm", "SDbhhmm_dm", "SDI")
+
+
+def family(df: DataFrame, by=BY) -> DataFrame:
+    """All thirteen as <name>_sd and <name>_mean, from as few passes as their grains allow: one over the readings for
+    the total and the segments, one day table, one time-point table, one set of windows each for the others."""
+    rows = [F.stddev_samp(G()).alias("SDT_sd"), F.avg(G()).alias("SDT_mean")]
+    for k, s in SEGMENTS.items():
+        inside = F.when(X.in_segment(*s), G())
+        rows += [F.when(F.count(inside) == 0, 0.0).otherwise(F.stddev_samp(inside)).alias(f"{k}_sd"), F.coalesce(F.avg(inside), F.lit(0.0)).alias(f"{k}_mean")]
+    mean = F.avg(_when_valid("mean"))
+    days = [F.coalesce(F.avg(_when_valid("sd")), F.lit(0.0)).alias("SDw_sd"), F.coalesce(mean, F.lit(0.0)).alias("SDw_mean"), F.stddev_samp(_when_valid("mean")).alias("SDdm_sd"), mean.alias("SDdm_mean")]
+    weighted = F.try_divide(F.sum(F.when(F.col("valid"), F.coalesce("sd", F.lit(0.0)) * F.col("n_days"))), F.sum(_when_valid("n_days")).cast("double"))
+    points = [F.stddev_samp(_when_valid("mean")).alias("SDhhmm_sd"), mean.alias("SDhhmm_mean"), weighted.alias("SDbhhmm_sd"), mean.alias("SDbhhmm_mean")]
+    parts = [df.groupBy(*by).agg(*rows), days_with_validity(df, by).groupBy(*by).agg(*days), timepoint_table(df, by).groupBy(*by).agg(*points)]
+    others = {"SDws_1h": sd_within_series(df, 1, by), "SDws_6h": sd_within_series(df, 6, by), "SDws_24h": sd_within_series(df, 24, by), "SDbhhmm_dm": sd_same_timepoint_adjusted(df, by), "SDI": sd_interaction(df, by)}
+    parts += [p.select(*by, F.col("sd").alias(f"{k}_sd"), F.col("mean").alias(f"{k}_mean")) for k, p in others.items()]
+    return reduce(lambda a, b: join_on(a, b, by), parts)
+
+
 def all_sd(df: DataFrame, by=BY) -> DataFrame:
     """The thirteen deviations, one row per series."""
-    parts = [p.select(*by, F.col("sd").alias(k)) for k, p in _parts(df, by).items()]
-    return reduce(lambda a, b: join_on(a, b, by), parts)
+    return family(df, by).select(*by, *(F.col(f"{k}_sd").alias(k) for k in FAMILY))
 
 
 def all_cv(df: DataFrame, by=BY) -> DataFrame:
     """The thirteen coefficients of variation in percent."""
-    cv = F.try_divide(F.col("sd"), F.nullif(F.col("mean"), F.lit(0.0))) * 100
-    parts = [p.select(*by, cv.alias(k.replace("SD", "CV", 1) if k.startswith("SD") else f"CV{k}")) for k, p in _parts(df, by).items()]
-    return reduce(lambda a, b: join_on(a, b, by), parts)
+    names = {k: k.replace("SD", "CV", 1) if k.startswith("SD") else f"CV{k}" for k in FAMILY}
+    return family(df, by).select(*by, *((F.try_divide(F.col(f"{k}_sd"), F.nullif(F.col(f"{k}_mean"), F.lit(0.0))) * 100).alias(v) for k, v in names.items()))
