@@ -247,7 +247,11 @@ def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     every = F.concat(F.col("base"), F.coalesce("extra", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
     every = F.array_sort(F.transform(every, lambda x: F.struct(order[x["kind"]].alias("k"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     every = F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return scanned.withColumn("base", slim).join(extra, "key", "left").select("doc_id", "base", every.alias("spans"), *(["row"] if carry else []))
+    scanned = scanned.withColumn("base", slim)
+    # Only rows with candidates can gain spans; the others, whole texts among them, need no shuffle.
+    some = scanned.filter(F.size("loose") > 0).join(extra, "key", "left")
+    none = scanned.filter(F.size("loose") == 0).withColumn("extra", F.lit(None).cast(some.schema["extra"].dataType))
+    return some.unionByName(none).select("doc_id", "base", every.alias("spans"), *(["row"] if carry else []))
 
 
 def digest(found: DataFrame) -> DataFrame:
