@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import expr as X
 from ..schema import BY
+from ..shipping import ship
 from .sd import join_on
 
 G = X.value
@@ -113,6 +114,7 @@ def _prune(points: list[tuple[int, float]], thr: float) -> list[int]:
 
 
 def _points_1(df: DataFrame, threshold_sd: float, by) -> DataFrame:
+    ship(df.sparkSession)
     found = potential_points(df, by).select(*by, "idx", "g", "time", "n", "sd", F.col("stretch").alias("rank"))
     ends = _ends(df, by).withColumn("rank", F.when(F.col("idx") == 0, F.lit(-1)).otherwise(F.lit(2**31 - 1)).cast("long"))
     both = found.unionByName(ends.select(found.columns))

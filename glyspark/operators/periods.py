@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import BY
+from ..shipping import ship
 from . import basic as B, quality as Q
 
 
@@ -31,6 +32,7 @@ def period_apply(df: DataFrame, builder: Callable[..., DataFrame], frequency: st
 
 def period_function(df: DataFrame, functions: list[Callable], frequency: str = "W", min_completeness: float = 70.0, by=BY) -> DataFrame:
     """Python functions of a period's glucose array (time-ordered), one double column each; errors give null."""
+    ship(df.sparkSession)
     rows = complete_periods(df, frequency, min_completeness, by).select(*by, "period", "time", "glucose")
     keys = [*by, "period"]
     names = [f.__name__ for f in functions]
