@@ -1,33 +1,18 @@
-"""Shared-folder workspaces, code shipping and Arrow helpers for the operators."""
+"""Shared-folder workspaces and Arrow helpers for the operators."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_llm_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(target)
-    sc._llm_shipped = True
+from ..shipping import ship
 
 
 _open: dict[str, list[Workspace]] = {}
