@@ -49,6 +49,7 @@ class Workspace:
     def free(self) -> None:
         """Let Spark remove the shuffle files of finished steps now, not when the driver's memory fills."""
         gc.collect()
+        trim()
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ._io import Workspace, byte_chunks, text_buffers
+from ._io import Workspace, byte_chunks, text_buffers, trim
 from ._words import LOWER, WordTable, distinct, mix, prefix_hash, range_hash, split
 
 UNKNOWN = "und"
@@ -182,12 +182,15 @@ def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE, epochs: int =
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(langs, pa.string())], names=["word", "lang"])
 
     # At most about rows * sample stretches a language, of STRETCH bytes at most.
-    got = picked.select("text", "lang").mapInArrow(pick, "word binary, lang string").toPandas()
-    got["word"] = got["word"].map(bytes)
-    got = got.sort_values(["lang", "word"], kind="stable")  # the same model whatever the order of tasks
-    if not len(got):
+    # The same model whatever the order of tasks.
+    got = picked.select("text", "lang").mapInArrow(pick, "word binary, lang string").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    if not got.num_rows:
         return Network([])
-    return net.fit(list(got["word"]), np.searchsorted(labels, got["lang"].to_numpy().astype(str)), epochs)
+    words, target = got.column("word").to_pylist(), np.searchsorted(labels, got.column("lang").to_numpy().astype(str))
+    del got
+    net.fit(words, target, epochs)
+    trim()
+    return net
 
 
 _tables: dict[int, WordTable] = {}

@@ -115,7 +115,8 @@ def chosen_sets(docs: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> Data
     def run(batches):
         bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
+            h = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
             for lo, hi, sets in _sets_of(batch, width):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "words"])
 
@@ -174,9 +175,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     h = ids.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("h"))
     words = h.selectExpr("h div 64 AS w", "shiftleft(1L, cast(h % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out.view(np.uint8)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, width: int = WIDTH) -> DataFrame:
