@@ -6,8 +6,7 @@ numbers, card-like numbers, IPv6) are candidates: they count only where patterns
 the graph of patterns and instances in rounds:
 
 - a pattern's score is the confidence of the instances it introduces over all its occurrences in the corpus
-  (from a fixed-size count sketch, which never understates them), held back where few distinct instances
-  support it;
+  (counted exactly, by 64-bit hash, in a second pass), held back where few distinct instances support it;
 - an instance's confidence is 1 for seeds, else 1 - the product of (1 - score) over its patterns.
 
 Candidates of confident instances become spans; base spans always stay.
@@ -31,7 +30,8 @@ from ._words import mix, word_hashes
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, distinct instances a pattern needs for its full score, and the confidence a candidate needs.
 ROUNDS, SUPPORT, CONFIDENT = 3, 4, 0.5
-SKETCH = 1 << 20
+#: Bits of the map of patterns that are counted; it only spares rows, counts are exact whatever its size.
+BITS = 1 << 26
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
@@ -44,7 +44,8 @@ _DIGIT = re.compile(r"[0-9]")
 _LOOSE_EMAIL = re.compile(r"[\w.+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,64}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{2,64}){1,4}").finditer
 _LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])").finditer
 _LOOSE_PHONE = re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])").finditer
-_BEFORE = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$")
+# Words as _words has them, so that patterns are counted where they are seen.
+_BEFORE = re.compile(r"([^ \t-\r]+)[ \t-\r]+([^ \t-\r]+)[ \t-\r]*$|([^ \t-\r]+)[ \t-\r]*$")
 
 
 def luhn(digits: str) -> bool:
@@ -122,10 +123,10 @@ def contexts(text: str, start: int) -> list[str]:
 _LOWER_MAP = {c: c + 32 for c in range(65, 91)}
 
 
-def _bucket(pattern: str) -> int:
+def _key(pattern: str) -> int:
     raw = np.frombuffer(pattern.encode(), np.uint8)
     h, *_ = word_hashes(raw, np.array([0, len(raw)]))
-    return int((h[0] if len(h) == 1 else _pair(h[:1], h[1:2])[0]) & np.uint64(SKETCH - 1))
+    return int((h if len(h) == 1 else _pair(h[:1], h[1:2])).view(np.int64)[0])
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,47 +166,46 @@ def _entry(text: str, span: tuple[str, int, int]) -> dict:
     return {"kind": kind, "start": a, "stop": b, "instance": text[a:b].lower(), "contexts": contexts(text, a)}
 
 
-def context_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket's words and pairs of words occur in all texts; SKETCH counts."""
-    stripe = 1 << 12
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """BITS bits, set at the low ends of the keys `h`: a fixed size, whatever their number."""
+    at = keys.select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("h"))
+    words = at.selectExpr("h div 64 AS w", "shiftleft(1L, cast(h % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(BITS // 64, np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def pattern_totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> DataFrame:
+    """(pattern, total): how often each of the distinct patterns occurs in all texts."""
+
+    def name(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["pattern", "h"])
+
+    named = work.save(patterns.mapInArrow(name, "pattern string, h long"), "patterns")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(named))
 
     def count(batches):
-        table = np.zeros(SKETCH, np.int64)
+        bits = shared.value
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for lo, hi in byte_chunks(offsets):
                 h, _, _, begin = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                table += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                if len(h) > 1:
-                    inner = np.ones(len(h) - 1, bool)
-                    cut = begin[(begin > 0) & (begin < len(h))]
-                    inner[cut - 1] = False
-                    pair = _pair(h[:-1], h[1:])[inner]
-                    table += np.bincount((pair & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        grid = table.reshape(-1, stripe)
-        at = np.flatnonzero(grid.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([grid[i].astype("<i8").tobytes() for i in at], pa.binary())], names=["stripe", "counts"])
-
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = np.frombuffer(c.as_buffer(), "<i8")
-                held[i] = held[i] + c if i in held else c
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], names=["stripe", "counts"])
+                inner = np.ones(max(len(h) - 1, 0), bool)
+                inner[begin[(begin > 0) & (begin < len(h))] - 1] = False
+                keys = np.concatenate([h, _pair(h[:-1], h[1:])[inner]])
+                low = keys & np.uint64(BITS - 1)
+                keys, n = np.unique(keys[(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
-    out = np.zeros(SKETCH, np.int64)
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "stripe int, counts binary").repartition(16, "stripe").mapInArrow(add, "stripe int, counts binary")
-    for r in parts.toLocalIterator():
-        out[r["stripe"] * stripe : (r["stripe"] + 1) * stripe] = np.frombuffer(r["counts"], "<i8")
-    return out
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "h long, n long")
+    counted = counted.groupBy("h").agg(F.sum("n").alias("total"))
+    return named.join(counted, "h", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def bootstrap(scanned: DataFrame, counts: np.ndarray, work: Workspace, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def bootstrap(scanned: DataFrame, docs: DataFrame, work: Workspace, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """(kind, instance, confidence) of the candidates that high-confidence patterns introduce."""
-    spark = scanned.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
 
     def rows(column: str, seed: bool) -> DataFrame:
         x = scanned.select(F.explode(column).alias("x")).select("x.kind", "x.instance", F.explode("x.contexts").alias("pattern"))
@@ -213,14 +213,9 @@ def bootstrap(scanned: DataFrame, counts: np.ndarray, work: Workspace, rounds: i
 
     graph = work.save(rows("base", True).unionByName(rows("loose", False)), "graph")
 
-    def total(batches):
-        table = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(table[_bucket(p)]) for p in batch.column(0).to_pylist()], pa.int64())], names=["pattern", "total"])
-
     # Only patterns that seeds and candidates share can change anything.
     both = graph.groupBy("kind", "pattern").agg(F.max("seed").alias("s"), F.min("seed").alias("c")).filter("s AND NOT c").select("kind", "pattern")
-    totals = both.select("pattern").distinct().mapInArrow(total, "pattern string, total long")
+    totals = pattern_totals(docs, both.select("pattern").distinct(), work)
     edges = work.save(graph.join(both, ["kind", "pattern"]).join(totals, "pattern"), "edges")
     confidence = edges.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("confidence")).groupBy("kind", "instance").agg(F.max("confidence").alias("confidence"))
     for k in range(rounds):
@@ -240,7 +235,7 @@ def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, base and all spans (arrays of kind, start, stop), each by kind as listed and start; carry adds the row."""
     work = Workspace(docs.sparkSession, "pii")
     scanned = scan(docs, work, carry)
-    accepted = bootstrap(scanned, context_counts(docs), work)
+    accepted = bootstrap(scanned, docs, work)
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     slim = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     extra = scanned.select("key", F.explode("loose").alias("x")).select("key", "x.kind", "x.start", "x.stop", "x.instance").join(accepted, ["kind", "instance"]).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("extra"))

@@ -82,6 +82,32 @@ def test_patterns_of_common_words_do_not_vouch(spark):
     assert got[200] == ""
 
 
+def test_words_that_share_low_hash_bits_do_not_count_for_a_pattern(spark):
+    """A table of 2^20 counters, however filled, would take these words for the pattern's."""
+    import numpy as np
+    from glyspark.llm._words import word_hashes
+
+    def hashes(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return word_hashes(raw, np.array([0, len(raw)]))[0]
+
+    low = np.uint64((1 << 20) - 1)
+    phone, me = hashes("phone me:")
+    pair = P._pair(np.array([phone]), np.array([me]))[0]
+    h = hashes(" ".join(f"w{k}" for k in range(3_000_000))) & low
+    same = [f"w{np.flatnonzero(h == (x & low))[0]}" for x in (me, pair)]
+    rows = [*seeds(), (100, "Or else phone me: 555-333-2000 soon"), (200, " ".join(same * 300))]
+    got = {r.doc_id: r.spans for r in P.digest(P.find_spans(docs(spark, rows))).collect()}
+    assert got[100] == "phone:18:30"
+
+
+def test_pattern_totals_are_exact(spark):
+    rows = [(1, "a b a B\u00a0c"), (2, "a\n b"), (3, "b"), (4, None), (5, "")]
+    patterns = spark.createDataFrame([("a",), ("b",), ("a b",), ("b a",), ("b\u00a0c",), ("never",)], "pattern string")
+    got = P.pattern_totals(docs(spark, rows), patterns, P.Workspace(spark, "test"))
+    assert {r.pattern: r.total for r in got.collect()} == {"a": 3, "b": 3, "a b": 2, "b a": 1, "b\u00a0c": 1, "never": 0}
+
+
 def test_redaction(spark):
     rows = [(1, "write a@b.cd or +1 (555) 555-1234."), (2, None), (3, "nothing"), (4, "card 4111 1111-1111 1111 x")]
     df = clashing(docs(spark, rows))
