@@ -213,10 +213,10 @@ def bootstrap(scanned: DataFrame, docs: DataFrame, work: Workspace, rounds: int
 
     graph = work.save(rows("base", True).unionByName(rows("loose", False)), "graph")
 
-    # Only patterns that seeds and candidates share can change anything.
-    both = graph.groupBy("kind", "pattern").agg(F.max("seed").alias("s"), F.min("seed").alias("c")).filter("s AND NOT c").select("kind", "pattern")
-    totals = pattern_totals(docs, both.select("pattern").distinct(), work)
-    edges = work.save(graph.join(both, ["kind", "pattern"]).join(totals, "pattern"), "edges")
+    # Patterns without a candidate vouch for nothing new; those without a seed may, once a round accepts their candidates.
+    able = graph.filter("NOT seed").select("kind", "pattern").distinct()
+    totals = pattern_totals(docs, able.select("pattern").distinct(), work)
+    edges = work.save(graph.join(able, ["kind", "pattern"]).join(totals, "pattern"), "edges")
     confidence = edges.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("confidence")).groupBy("kind", "instance").agg(F.max("confidence").alias("confidence"))
     for k in range(rounds):
         known = edges.join(confidence, ["kind", "instance"])

@@ -108,6 +108,13 @@ def test_pattern_totals_are_exact(spark):
     assert {r.pattern: r.total for r in got.collect()} == {"a": 3, "b": 3, "a b": 2, "b a": 1, "b\u00a0c": 1, "never": 0}
 
 
+def test_accepted_candidates_vouch_in_later_rounds(spark):
+    both = [(100 + 10 * i + j, f"Or else {p} 555-333-{2000 + i} soon") for i in range(5) for j, p in enumerate(("phone me:", "whatsapp line"))]
+    rows = [*seeds(), *both, (300, "a whatsapp line 555-444-7777 yes"), (301, "weight of 555-333-1234 kg")]
+    got = {r.doc_id: r.spans for r in P.digest(P.find_spans(docs(spark, rows))).collect()}
+    assert got[300] == "phone:16:28" and got[301] == ""
+
+
 def test_redaction(spark):
     rows = [(1, "write a@b.cd or +1 (555) 555-1234."), (2, None), (3, "nothing"), (4, "card 4111 1111-1111 1111 x")]
     df = clashing(docs(spark, rows))
