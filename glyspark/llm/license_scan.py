@@ -2,7 +2,9 @@
 
 Words that occur once in both a text window and a template are anchors; the longest increasing subsequence
 of their places is kept, and the gaps between anchors are aligned in the same way, after equal words at
-their ends. A template's coverage is the share of its words that are aligned; a match covers LEAST of it.
+their ends. A template's coverage is the share of its words that are aligned; a match covers LEAST of it, and
+aligns the words that name its license and version (NAMES) one right after the other. A short template without
+such words is covered whole.
 
 A text is looked at only for templates of which it holds enough distinct words for that coverage (an
 exact bound). Windows lie around the occurrences of several of the template's rarest words in that text, wherever
@@ -26,6 +28,8 @@ from ._words import LETTERS, LOWER, distinct, prefix_hash, range_hash, split
 
 #: Share of a template's words that a match aligns.
 LEAST = 0.8
+#: Most words of a template that a match must cover whole where nothing in it is known to name the license.
+SHORT = 8
 #: Rarest words of a template that windows are laid around.
 GUIDES = 3
 
@@ -47,9 +51,54 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "MIT-0-notice": "Released under the MIT No Attribution License",
+    "BSD-notice": "Released under the BSD License",
+    "ISC-notice": "Released under the ISC License",
+    "Apache-notice": "Released under the Apache License",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "MPL-2.0-notice": "This work is licensed under the Mozilla Public License, version 2.0",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-3.0": "Licensed under CC BY 3.0",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
+#: The words of a template that name its license and version: another license's notice has others there.
+NAMES = {
+    "MIT-notice": ("MIT License",),
+    "MIT-0-notice": ("MIT No Attribution License",),
+    "BSD-notice": ("BSD License",),
+    "ISC-notice": ("ISC License",),
+    "Apache-notice": ("Apache License",),
+    "Apache-2.0": ("Apache License", "2.0"),
+    "Apache-2.0-notice": ("Apache License", "2.0"),
+    "GPL-2.0": ("GNU General Public License", "version 2"),
+    "GPL-3.0": ("GNU General Public License", "version 3"),
+    "GPL-2.0-notice": ("GNU General Public License", "2"),
+    "GPL-3.0-notice": ("GNU General Public License", "3"),
+    "LGPL-2.1": ("GNU Lesser General Public License", "version 2.1"),
+    "LGPL-2.1-notice": ("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0-notice": ("GNU Lesser General Public License", "3"),
+    "AGPL-3.0-notice": ("GNU Affero General Public License", "3"),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+    "MPL-2.0-notice": ("Mozilla Public License", "2.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0",),
+    "CC-BY-4.0-notice": ("CC BY 4.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
+    "CC-BY-3.0": ("CC BY 3.0",),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0",),
+}
+
 
 def words_of(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Lower-cased words of letters and digits with their starts and ends in bytes."""
@@ -109,11 +158,26 @@ class Template:
         self.name, (self.words, *_) = name, words_of(text.encode())
         self.kinds = Counter(self.words)
         self.first = {w: k for k, w in reversed(list(enumerate(self.words)))}
+        #: Ranges of words that name the license.
+        self.names = []
+        for phrase in NAMES.get(name, ()):
+            p = words_of(phrase.encode())[0]
+            self.names += [(k, k + len(p)) for k in range(len(self.words) - len(p) + 1) if self.words[k : k + len(p)] == p][:1]
+
+    def least(self, least: float) -> float:
+        """The share of the words that a match covers."""
+        return 1.0 if not self.names and len(self.words) <= SHORT else least
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether aligned pairs (in a text, in the template) hold its name with nothing in between."""
+        at = {y: x for x, y in pairs}
+        return all(lo in at and all(at.get(k) == at[lo] + k - lo for k in range(lo, hi)) for lo, hi in self.names)
 
 
 def matches(words: list[bytes], template: Template, least: float = LEAST) -> list[tuple[int, int, float]]:
     """(first word, end word, coverage) of the template's matches in a text."""
     n, t = len(template.words), template
+    least = t.least(least)
     here: dict[bytes, list[int]] = {}
     for k, w in enumerate(words):
         if w in t.kinds:
@@ -131,7 +195,7 @@ def matches(words: list[bytes], template: Template, least: float = LEAST) -> lis
     for lo, hi in windows:
         lo, hi = max(lo, 0), min(hi, len(words))
         pairs = align(words[lo:hi], t.words)
-        if len(pairs) >= least * n:
+        if len(pairs) >= least * n and t.named(pairs):
             # Strays far from the rest do not stretch the span.
             at = [lo + x for x, _ in pairs]
             found.append((at[0], at[-1] + 1, len(pairs) / n))
@@ -167,7 +231,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for k, t in enumerate(ts):
             for w, c in t.kinds.items():
                 weight[where[w], k] = c
-        needed = np.array([least * len(t.words) for t in ts])
+        needed = np.array([t.least(least) * len(t.words) for t in ts])
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
             for lo, hi in byte_chunks(offsets):

@@ -45,6 +45,27 @@ def test_every_template_finds_itself(spark):
         assert any(name == x.name or x.coverage == 1 for x in got[k].spans), name
 
 
+def test_other_licenses_are_not_taken_for_similar_ones(spark):
+    want = {
+        "Released under the BSD License": "BSD-notice",
+        "Released under the Apache License": "Apache-notice",
+        "Released under the Zlib License": "",
+        "Released under the MIT License": "MIT-notice",
+        "Released under MIT License": "MIT-notice",
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0-notice",
+        "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC 2.5": "",
+        "This work is licensed under the GNU General Public License, version 2": "GPL-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        L.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Lesser General"): "",
+    }
+    got = scan(spark, [(k, f"Some words before. {t}. And after") for k, t in enumerate(want)])
+    assert {t: got[k].licenses for k, t in enumerate(want)} == want
+    assert scan(spark, [(1, "use the quick brown license")], templates={"own": "the quick red license now then"})[1].n_licenses == 0
+
+
 def test_awkward_rows(spark):
     rows = AWKWARD + [(9, NOTICE), (9, NOTICE)]
     got = L.scan_licenses(clashing(docs(spark, rows))).collect()
