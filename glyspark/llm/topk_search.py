@@ -3,7 +3,7 @@
 A vector's code has one bit per component (component > 0). Codes are cut into segments of SEGMENT bits and
 indexed by each. A query looks up its segments at radius 0, 1, 2, ...; once segment a is done at radius r, each
 code within distance m * r + a has been met (else it differed in more bits than that), so a query ends when
-that many ids at least are verified within the covered distance.
+that many distinct ids at least are verified within the covered distance.
 
 Equal codes are one entry with their k + 1 smallest ids, which is all that a top k can use; equal queries are
 answered once. Entries are dealt to shards and queries to blocks; each task indexes one shard and searches it
@@ -30,6 +30,8 @@ EVERY = 20
 SEGMENT = 16
 #: Most entries of a shard and queries of a block; queries of a block that are searched at once.
 SHARD, BLOCK, AT_ONCE = 1_000_000, 50_000, 64
+#: About the most entries verified at once.
+STEP = 1 << 21
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -62,13 +64,18 @@ class MultiIndex:
         self.order = [np.argsort(self.seg[:, s], kind="stable") for s in range(self.m)]
         self.start = [np.searchsorted(self.seg[o, s], np.arange((1 << SEGMENT) + 1)) for s, o in enumerate(self.order)]
 
-    def search(self, queries: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, entry, distance) triples, sorted so, that hold each query's `need` nearest ids at least."""
+    def search(self, queries: np.ndarray, need: int, members: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, entry, distance) triples, sorted so, that hold each query's `need` nearest ids at least.
+
+        Without members, no id may stand for two codes. With them (offsets by entry, ids), any may: the triples
+        are then (query, id, distance), each query's `need` nearest distinct ids by distance and id.
+        """
         q = queries.view(">u2").astype(np.uint16)
         n, far = len(q), SEGMENT * self.m
         hist = np.zeros((n, far + 1), np.int64)
         active = np.arange(n)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best = (np.zeros(0, np.int64),) * 3
         for r in range(SEGMENT + 1):
             masks = _masks(r)
             for a in range(self.m):
@@ -78,18 +85,28 @@ class MultiIndex:
                 lo, hi = self.start[a][probe], self.start[a][probe + 1]
                 many = (hi - lo).ravel()
                 total = int(many.sum())
-                if total:
-                    ask = np.repeat(np.repeat(active, len(masks)), many)
-                    at = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo.ravel(), many)
+                each = many.reshape(len(active), -1)
+                for part in np.array_split(np.arange(len(active)), min(len(active), 1 + total // STEP)) if total else []:
+                    many, low = each[part].ravel(), lo[part].ravel()
+                    ask = np.repeat(np.repeat(active[part], len(masks)), many)
+                    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
                     entry = self.order[a][at]
                     apart = _ONES[self.seg[entry] ^ q[ask]]
                     # Met here first: no earlier segment lies within r, no later one within r - 1.
                     new = (apart[:, :a] > r).all(axis=1) & (apart[:, a + 1 :] >= r).all(axis=1)
                     ask, entry, dist = ask[new], entry[new], apart[new].sum(axis=1, dtype=np.int64)
-                    np.add.at(hist, (ask, dist), self.ids[entry])
-                    got.append((ask, entry, dist))
+                    if members is None:
+                        np.add.at(hist, (ask, dist), self.ids[entry])
+                        got.append((ask, entry, dist))
+                    else:
+                        best = _nearest_ids(best, _members(ask, entry, dist, members), need)
+                if members is not None and total:
+                    hist[:] = 0
+                    np.add.at(hist, (best[0], best[2]), 1)
                 covered = min(self.m * r + a, far)
                 active = active[hist[active, : covered + 1].sum(axis=1) < need]
+        if members is not None:
+            return best
         if not got:
             z = np.zeros(0, np.int64)
             return z, z, z
@@ -103,6 +120,31 @@ class MultiIndex:
         return ask[order], entry[order], dist[order]
 
 
+def _members(ask: np.ndarray, entry: np.ndarray, dist: np.ndarray, members: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of all ids of the entries."""
+    offsets, flat = members
+    many = np.diff(offsets)[entry]
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(offsets[entry], many)
+    return np.repeat(ask, many), flat[at], np.repeat(dist, many)
+
+
+def _nearest_ids(held: tuple, more: tuple, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's `need` nearest ids of both, an id at its least distance.
+
+    An id that is cut has `need` others before it, which only come nearer; should it, it is met anew.
+    """
+    ask, ids, dist = (np.concatenate(x) for x in zip(held, more, strict=True))
+    order = np.lexsort((dist, ids, ask))
+    ask, ids, dist = ask[order], ids[order], dist[order]
+    first = np.ones(len(ask), bool)
+    first[1:] = (ask[1:] != ask[:-1]) | (ids[1:] != ids[:-1])
+    ask, ids, dist = ask[first], ids[first], dist[first]
+    order = np.lexsort((ids, dist, ask))
+    ask, ids, dist = ask[order], ids[order], dist[order]
+    keep = np.arange(len(ask)) - np.searchsorted(ask, ask) < need
+    return ask[keep], ids[keep], dist[keep]
+
+
 _mask_tables: dict[int, np.ndarray] = {}
 
 
@@ -145,24 +187,23 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "v
         offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
         index = MultiIndex(_matrix(left.column("code")), np.diff(offsets))
         questions = _matrix(right.column("code"))
+        members = (offsets, flat)
+        repeated = len(np.unique(flat)) < len(flat)
         out = []
         for lo in range(0, len(questions), AT_ONCE):
-            a, entry, dist = index.search(questions[lo : lo + AT_ONCE], need)
-            many = np.diff(offsets)[entry]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(offsets[entry], many)
-            a, found, dist = np.repeat(a, many), flat[at], np.repeat(dist, many)
-            order = np.lexsort((found, dist, a))
-            a, found, dist = a[order], found[order], dist[order]
-            begin = np.searchsorted(a, np.arange(a[-1] + 1)) if len(a) else np.zeros(0, np.int64)
-            keep = np.arange(len(a)) - begin[a] < need if len(a) else np.zeros(0, bool)
-            codes_ = [questions[lo + i].tobytes() for i in a[keep]]
-            out.append(pa.table([pa.array(codes_, pa.binary()), pa.array(found[keep]), pa.array(dist[keep].astype(np.int32))], schema=schema))
+            some = questions[lo : lo + AT_ONCE]
+            if repeated:
+                a, found, dist = index.search(some, need, members)
+            else:
+                a, found, dist = _nearest_ids((np.zeros(0, np.int64),) * 3, _members(*index.search(some, need), members), need)
+            codes_ = [questions[lo + i].tobytes() for i in a]
+            out.append(pa.table([pa.array(codes_, pa.binary()), pa.array(found), pa.array(dist.astype(np.int32))], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     met = base.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(search, "code binary, id long, distance int")
     if shards > 1:
         w = Window.partitionBy("code").orderBy("distance", "id")
-        met = met.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= need).drop("n")
+        met = met.groupBy("code", "id").agg(F.min("distance").alias("distance")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= need).drop("n")
     met = work.save(met, "met")
     pairs = asked.select(F.col("id").alias("query_id"), "code").join(met, "code").filter("query_id <> id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

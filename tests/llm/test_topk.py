@@ -59,3 +59,22 @@ def test_covered_distance_ends_the_search():
         d = np.unpackbits(codes ^ codes[q], axis=1).sum(1)
         mine = dist[ask == q]
         assert sorted(d)[:4] == sorted(mine)[:4] and (dist[ask == q] == d[entry[ask == q]]).all()
+
+
+def test_ids_with_many_codes_take_one_place(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=48)
+
+    def near(flips):
+        v = base.copy()
+        v[rng.choice(48, flips, replace=False)] *= -1
+        return v.tolist()
+
+    # A hot id and the asking id itself fill the neighbourhood; the others are far away.
+    rows = [(2, base.tolist())] + [(1, near(2)) for _ in range(40)] + [(2, near(1)) for _ in range(30)] + [(11 + 2 * i, near(14 + i % 5)) for i in range(30)]
+    want = sorted(brute(rows, 3, 2))
+    assert len(want) == 3
+    assert run(spark, rows) == want
+    monkeypatch.setattr(T, "SHARD", 25)
+    monkeypatch.setattr(T, "STEP", 16)
+    assert run(spark, rows) == want
