@@ -180,8 +180,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, width: int = WIDTH) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are similar, as ids; sets are computed for their documents alone."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Workspace, name: str, width: int = WIDTH, as_nodes: bool = False) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets are similar, as ids or nodes; sets are computed for their documents alone."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = _bitmap(nodes.join(classes, "node").select(F.col("rep").alias("id")))
     sets = _of_nodes(chosen_sets(docs, wanted, width), classes)
@@ -199,13 +199,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Worksp
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x"), F.col("id").alias("id_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y"), F.col("id").alias("id_b")), "b")
-    return work.save(both.select("id_a", "id_b", "x", "y").mapInArrow(hold, "a long, b long").distinct(), name)
+    return work.save(both.select(*(("a", "b") if as_nodes else ("id_a", "id_b")), "x", "y").mapInArrow(hold, "a long, b long").distinct(), name)
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, rep (the least id with the same set)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "ngram")
+def _prepared(docs: DataFrame, work: Workspace, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3: signatures, classes of equal sets, and postings that several classes share."""
     # Ids alone may repeat with other texts; a document is then known by its id and digest.
     sigs = work.save(signatures(docs, width), "signatures")
     classes = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("near").alias("near"))
@@ -235,6 +233,61 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     shared = work.save(posted.join(heads, "token"), "shared")
     work.drop("often", "posted")
     work.free()
+    return sigs, classes, shared
+
+
+def _multi_match(rows: DataFrame, apart: bool) -> DataFrame:
+    """Pairs (a, b) of nodes with enough shared prefix shingles; apart: only those of two components."""
+    carried = ("rep", "n", "l", "pos") + ("component",) * apart
+    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in carried)) for s in "ab")
+    l = F.least("l_a", "l_b")
+    # The overlap that these two sizes need; a prefix leaves no more places than that allows to miss, and l.
+    both = F.col("n_a") + F.col("n_b")
+    least = F.ceil(both * F.lit(SHARE) / F.lit(SHARE + WHOLE))
+
+    def inside(s: str):
+        return F.col(f"pos_{s}") < F.col(f"n_{s}") - least + l
+
+    on = (a["token"] == b["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * SHARE) & inside("a") & inside("b")
+    met = a.join(b, on & (F.col("component_a") != F.col("component_b")) if apart else on)
+    return met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(l).alias("l")).filter("shared >= l").select("a", "b")
+
+
+def _labelled(sigs: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
+    """The signatures' rows with component_id and rep."""
+    labels = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
+    lone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return sigs.join(labels, "digest", "left").select("doc_id", "n_shingles", lone.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), "digest")
+
+
+def linked_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The whole join: as similar_documents(), and n_links, how many other documents each one is similar to.
+
+    Every pair of class representatives is looked for and verified, inside components too; equal sets count by the
+    size of their class. Documents are distinct (doc_id, set); those without an id or a shingle have no links.
+    """
+    work = Workspace(docs.sparkSession, "ngram_links")
+    sigs, classes, shared = _prepared(docs, work, width)
+    pairs = work.save(_multi_match(shared, False), "pairs")
+    links = verified(pairs, docs, classes, work, "links", width, as_nodes=True)
+    work.free()
+    ids = classes.select("node", "rep")
+    edges = links.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").filter("u <> v").select("u", "v")
+    final = work.save(components(edges, work, "cc_"), "components")
+    members = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("size"))
+    sized = classes.select("node", "digest").join(members, "digest")
+    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ways.join(sized.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    counts = work.save(sized.join(others, "node", "left").select("digest", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links")), "counts")
+    work.drop("shared", "pairs")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return _labelled(sigs, classes, final).join(counts, "digest", "left").select("doc_id", "n_shingles", "component_id", "rep", n_links.alias("n_links"))
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, rep (the least id with the same set)."""
+    work = Workspace(docs.sparkSession, "ngram")
+    sigs, classes, shared = _prepared(docs, work, width)
 
     # 4. One verification per document: against the head it meets most often.
     votes = shared.filter("rep > head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("l").alias("l"))
@@ -248,26 +301,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rows = work.save(rows.join(spread, "token", "left_semi").select("token", "rep", "n", "l", "pos", "component"), "open")
-    a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "l", "pos", "component"))) for s in "ab")
-    l = F.least("l_a", "l_b")
-    # The overlap that these two sizes need; a prefix leaves no more places than that allows to miss, and l.
-    both = F.col("n_a") + F.col("n_b")
-    least = F.ceil(both * F.lit(SHARE) / F.lit(SHARE + WHOLE))
-
-    def inside(s: str):
-        return F.col(f"pos_{s}") < F.col(f"n_{s}") - least + l
-
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * SHARE) & inside("a") & inside("b"))
-    pairs = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(l).alias("l")).filter("shared >= l").select("a", "b")
-    more = verified(work.save(pairs, "pairs2"), docs, classes, work, "links2", width)
+    more = verified(work.save(_multi_match(rows, True), "pairs2"), docs, classes, work, "links2", width)
 
     work.free()
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = work.save(components(edges, work, "cc2_"), "components")
     work.drop("shared", "open", "first", "pairs1", "pairs2", "links1", "links2")
-    labels = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
-    lone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sigs.join(labels, "digest", "left").select("doc_id", "n_shingles", lone.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    return _labelled(sigs, classes, final).drop("digest")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:

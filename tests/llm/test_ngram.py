@@ -121,3 +121,14 @@ def test_many_short_sets_beyond_the_universe(spark):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(9)]
     check(spark, [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 4, 5, 6, 8])))) for k in range(150)])
+
+
+def test_all_links_inside_components_are_counted(spark):
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(90)]
+    rows = [(k, edited(base, 1 + k % 3, rng)) for k in range(40)] + [(100 + k, " ".join(base)) for k in range(3)] + [(200, "z"), (201, None)]
+    sets = {i: v[0] for i, v in sets_of(rows).items()}
+    want = {a: sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    got = {r.doc_id: r for r in N.linked_documents(docs(spark, rows)).collect()}
+    assert {i: r.n_links for i, r in got.items()} == want and max(want.values()) > 3
+    assert {i: r.component_id for i, r in got.items()} == brute(rows)
