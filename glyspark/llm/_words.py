@@ -113,28 +113,6 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[n
     return out
 
 
-class WordTable:
-    """Values of words by hash, computed once per worker and bounded in number; results never depend on it."""
-
-    def __init__(self, width: int, most: int = 400_000):
-        self.most, self.keys, self.values = most, np.zeros(0, _U), np.zeros((0, width), np.float32)
-
-    def __call__(self, keys: np.ndarray, compute) -> np.ndarray:
-        """Values for sorted distinct keys; compute(indices) gives those that are not held."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        out = np.zeros((len(keys), self.values.shape[1]), np.float32)
-        out[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            out[new] = compute(new)
-            if len(self.keys) + len(new) > self.most:
-                self.keys, self.values = self.keys[:0], self.values[:0]
-            place = np.searchsorted(self.keys, keys[new])
-            self.keys, self.values = np.insert(self.keys, place, keys[new]), np.insert(self.values, place, out[new], axis=0)
-        return out
-
-
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, the first place of each, and each word's index among them."""
     return np.unique(hashes, return_index=True, return_inverse=True)

@@ -76,7 +76,55 @@ def test_keep_known_returns_whole_rows(spark):
     assert not kept & {1001, 1002} and len(kept) >= 78
 
 
-def test_stretches_cover_every_byte_once():
-    raw = np.frombuffer(("a" * 60 + " b  " + "c" * 24 + "d").encode(), np.uint8)
-    s, e, begin = L.stretches(raw, np.array([0, 63, len(raw)]))
-    assert [(int(x), int(y)) for x, y in zip(s, e)] == [(0, 24), (24, 48), (48, 60), (61, 62), (64, 88), (88, 89)] and list(begin) == [0, 4, 6]
+def pack(texts):
+    parts = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+TEXTS = ["", "a", "é" * 40, "one two  three\n" * 9, "中文😀 ß" * 13, "x" * 64, "", "word é " * 30]
+
+
+def test_stretches_cover_every_byte_once_and_whole_characters():
+    raw, off = pack(TEXTS)
+    for core, context in ((16, 6), (17, 5), (8, 0), (64, 64), (1000, 9)):
+        doc, first, begin, end, last = L.stretches(raw, off, core, context)
+        seen = [(d, i) for d, a, b in zip(doc, begin, end) for i in range(a, b)]
+        assert seen == [(d, i) for d in range(len(TEXTS)) for i in range(off[d], off[d + 1])]
+        for d, a, b, c, e in zip(doc, first, begin, end, last):
+            assert raw[a:e].tobytes().decode() and raw[b:c].tobytes().decode()
+            assert off[d] <= a <= b < c <= e <= off[d + 1]
+            assert a == off[d] or b - a >= context
+            assert e == off[d + 1] or e - c >= context - 3
+
+
+def test_pooled_sums_equal_direct_runs():
+    net = L.Network(["a", "b", "c"], seed=4)
+    raw, off = pack(TEXTS)
+    for core, context in ((16, 6), (24, 24), (1000, 9)):
+        want = np.zeros((len(TEXTS), 3))
+        for d, a, b, c, e in zip(*L.stretches(raw, off, core, context)):
+            want[d] += net.log_probs(raw[a:e].tobytes())[b - a : c - a].sum(axis=0)
+        assert np.allclose(net.pooled(raw, off, core, context), want, rtol=1e-4, atol=1e-3)
+    # Stretches that reach over the whole text: one run over the text itself.
+    whole = [net.log_probs(t.encode()).sum(axis=0) if t else np.zeros(3) for t in TEXTS]
+    assert np.allclose(net.pooled(raw, off, 16, 1000), whole, rtol=1e-4, atol=1e-3)
+
+
+def test_a_byte_knows_the_words_around_it():
+    net = L.Network(["a", "b"], seed=4)
+    one, other, after = (net.log_probs(t) for t in (b"red house here", b"die house here", b"red house dort"))
+    assert np.abs(one[4:9] - other[4:9]).max() > 1e-4 and np.abs(one[4:9] - after[4:9]).max() > 1e-4
+    texts = ["red house here", "die house here"]
+    a, b = net.pooled(*pack(texts))
+    assert np.abs(a - b).max() > 1e-4
+
+
+def test_document_scores_equal_direct_runs_of_the_network(spark):
+    rows = corpus(60) + [(500, "ka lo mi ten " * 100, None)]
+    net = L.train(docs(spark, rows))
+    for r in L.predict(docs(spark, rows), net).collect():
+        text = {i: t for i, t, _ in rows}[r.doc_id].encode()
+        raw, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        mean = sum(net.log_probs(raw[a:e].tobytes())[b - a : c - a].sum(axis=0) for _, a, b, c, e in zip(*L.stretches(raw, off))) / len(text)
+        p = np.exp(mean - mean.max())
+        assert r.lang_pred == net.labels[int(p.argmax())] and r.score == pytest.approx(p.max() / p.sum(), abs=1e-4)

@@ -30,11 +30,3 @@ def test_words_and_shingles(texts):
     for ws, got in zip(words, W.shingle_sets(raw, off)):
         want = {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
         assert len(got) == len(want)
-
-
-def test_word_table_is_bounded_and_exact():
-    t = W.WordTable(1, most=50)
-    for lo in range(0, 400, 20):
-        keys = np.arange(lo, lo + 30, dtype=np.uint64)
-        got = t(keys, lambda at: (keys[at][:, None] * 2).astype(np.float32))
-        assert (got[:, 0] == keys * 2).all() and len(t.keys) <= 50
