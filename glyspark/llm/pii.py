@@ -1,13 +1,14 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction.
 
-Base spans come from one regular expression per kind. They are the seeds: the word, and the two words,
-before a seed form lexical patterns. Looser shapes of the same kinds (obscured addresses, national phone
-numbers, card-like numbers, IPv6) are candidates: they count only where patterns vouch for them. Spark scores
-the graph of patterns and instances in rounds:
+Base spans come from one regular expression per kind. They are the seeds: the word, and the two words, before a
+seed form lexical patterns (words are runs of letters and digits, A-Z lower-cased, taken whole). Looser shapes of
+the same kinds (obscured and spelled-out addresses, IPv6, card-like numbers, any written number of 7 to 12 digits)
+are candidates: they count only where patterns vouch for them. Spark scores the graph of patterns and
+instances, round after round until no confidence rises by TOLERANCE any more (they never fall):
 
 - a pattern's score is the confidence of the instances it introduces over all its occurrences in the corpus
   (counted exactly, by 64-bit hash, in a second pass), held back where few distinct instances support it;
-- an instance's confidence is 1 for seeds, else 1 - the product of (1 - score) over its patterns.
+- an instance's confidence is 1 for seeds, else 1 - the product of (1 - score) over its patterns of VOUCH at least.
 
 Candidates of confident instances become spans; base spans always stay.
 
@@ -18,18 +19,22 @@ texts. An empty table gives no rows. Other columns are ignored, or carried along
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from ipaddress import AddressValueError, IPv6Address
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import Workspace, byte_chunks, text_buffers
-from ._words import mix, word_hashes
+from ._words import LETTERS, mix, prefix_hash, range_hash, split
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, distinct instances a pattern needs for its full score, and the confidence a candidate needs.
-ROUNDS, SUPPORT, CONFIDENT = 3, 4, 0.5
+#: Distinct instances a pattern needs for its full score, the score from which it vouches, the confidence a candidate needs.
+SUPPORT, VOUCH, CONFIDENT = 4, 0.3, 0.5
+#: Scoring ends once no confidence rises by this much.
+TOLERANCE = 1e-3
 #: Bits of the map of patterns that are counted; it only spares rows, counts are exact whatever its size.
 BITS = 1 << 26
 
@@ -42,10 +47,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 _DIGIT = re.compile(r"[0-9]")
 
 _LOOSE_EMAIL = re.compile(r"[\w.+-]{1,64} ?[\[(]at[\])] ?[\w-]{1,64}(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]{2,64}){1,4}").finditer
-_LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])").finditer
-_LOOSE_PHONE = re.compile(r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])").finditer
-# Words as _words has them, so that patterns are counted where they are seen.
-_BEFORE = re.compile(r"([^ \t-\r]+)[ \t-\r]+([^ \t-\r]+)[ \t-\r]*$|([^ \t-\r]+)[ \t-\r]*$")
+_SPELLED_EMAIL = re.compile(r"[\w.+-]{1,64} at [\w-]{1,64}(?: dot [\w-]{2,64}){1,4}", re.IGNORECASE).finditer
+_LOOSE_IP = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])").finditer
+_LOOSE_PHONE = re.compile(r"\(?[0-9](?:[ ()./-]{0,2}+[0-9])++").finditer
+# Words as the corpus counts have them.
+_WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+").finditer
 
 
 def luhn(digits: str) -> bool:
@@ -93,11 +99,16 @@ def candidates(text: str, base: list[tuple[str, int, int]], cards: list[tuple[st
     out = []
     if "at)" in text or "at]" in text:
         out += [("email", *m.span()) for m in _LOOSE_EMAIL(text)]
-    if text.count(":") >= 4:
-        out += [("ip", *m.span()) for m in _LOOSE_IP(text)]
+    if " dot " in text:
+        out += [("email", *m.span()) for m in _SPELLED_EMAIL(text)]
+    if "::" in text or text.count(":") >= 7:
+        out += [("ip", *m.span()) for m in _LOOSE_IP(text) if _is_ipv6(m[0])]
     out += cards
     if _DIGIT.search(text):
-        out += [("phone", *m.span()) for m in _LOOSE_PHONE(text)]
+        for m in _LOOSE_PHONE(text):
+            near = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+            if 7 <= sum(map(str.isdecimal, m[0])) <= 12 and not any(c.isalnum() or c in "+_" for c in near):
+                out.append(("phone", *m.span()))
     if not out:
         return out
     taken = sorted((a, b) for _, a, b in base)
@@ -110,22 +121,38 @@ def candidates(text: str, base: list[tuple[str, int, int]], cards: list[tuple[st
     return keep
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return bool(IPv6Address(text))
+    except AddressValueError:
+        return False
 
-def contexts(text: str, start: int) -> list[str]:
-    """The word and the two words before a place, lower-cased (A-Z)."""
-    m = _BEFORE.search(text[max(0, start - 120) : start])
-    if not m:
-        return []
-    one = (m[2] or m[3]).translate(_LOWER_MAP)
-    return [one, f"{m[1].translate(_LOWER_MAP)} {one}"] if m[1] else [one]
+
+class Contexts:
+    """The words of a text, and the patterns before its places."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in _WORDS(text)]
+
+    def __call__(self, start: int) -> list[str]:
+        """The word and the two words before a place; a word that reaches beyond it ends there."""
+        k = bisect_left(self.words, (start, start))
+        words = [self.text[a : min(b, start)].translate(_LOWER_MAP) for a, b in self.words[max(k - 2, 0) : k]]
+        return [words[-1], " ".join(words)][: len(words)] if words else []
 
 
 _LOWER_MAP = {c: c + 32 for c in range(65, 91)}
 
 
+def _hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin."""
+    starts, ends, begin = split(raw, offsets, LETTERS)
+    return range_hash(prefix_hash(raw), starts, ends), begin
+
+
 def _key(pattern: str) -> int:
     raw = np.frombuffer(pattern.encode(), np.uint8)
-    h, *_ = word_hashes(raw, np.array([0, len(raw)]))
+    h, _ = _hashes(raw, np.array([0, len(raw)]))
     return int((h if len(h) == 1 else _pair(h[:1], h[1:2])).view(np.int64)[0])
 
 
@@ -145,8 +172,10 @@ def scan(docs: DataFrame, work: Workspace, carry: bool) -> DataFrame:
                 for i in range(lo, hi):
                     text = raw[offsets[i] : offsets[i + 1]].tobytes().decode()
                     spans, cards = base_spans(text)
-                    base.append([_entry(text, s) for s in spans])
-                    loose.append([_entry(text, s) for s in candidates(text, spans, cards)])
+                    more = candidates(text, spans, cards)
+                    before = Contexts(text) if spans or more else None
+                    base.append([_entry(text, s, before) for s in spans])
+                    loose.append([_entry(text, s, before) for s in more])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(base, _SPANS), pa.array(loose, _SPANS), *(c.slice(lo, hi - lo) for c in batch.columns[2:])], names=names)
 
     names = ["doc_id", "base", "loose"] + ["row"] * carry
@@ -161,9 +190,9 @@ def scan(docs: DataFrame, work: Workspace, carry: bool) -> DataFrame:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("contexts", pa.list_(pa.string()))]))
 
 
-def _entry(text: str, span: tuple[str, int, int]) -> dict:
+def _entry(text: str, span: tuple[str, int, int], before: Contexts) -> dict:
     kind, a, b = span
-    return {"kind": kind, "start": a, "stop": b, "instance": text[a:b].lower(), "contexts": contexts(text, a)}
+    return {"kind": kind, "start": a, "stop": b, "instance": text[a:b].lower(), "contexts": before(a)}
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -191,7 +220,7 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> Dat
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for lo, hi in byte_chunks(offsets):
-                h, _, _, begin = word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                h, begin = _hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 inner = np.ones(max(len(h) - 1, 0), bool)
                 inner[begin[(begin > 0) & (begin < len(h))] - 1] = False
                 keys = np.concatenate([h, _pair(h[:-1], h[1:])[inner]])
@@ -204,8 +233,11 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame, work: Workspace) -> Dat
     return named.join(counted, "h", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def bootstrap(scanned: DataFrame, docs: DataFrame, work: Workspace, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(kind, instance, confidence) of the candidates that high-confidence patterns introduce."""
+def bootstrap(scanned: DataFrame, docs: DataFrame, work: Workspace, support: int = SUPPORT, confident: float = CONFIDENT, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, instance, confidence) of the candidates that high-confidence patterns introduce.
+
+    What one side of a join aggregates is written first, so that Spark may split the other side's hot keys.
+    """
 
     def rows(column: str, seed: bool) -> DataFrame:
         x = scanned.select(F.explode(column).alias("x")).select("x.kind", "x.instance", F.explode("x.contexts").alias("pattern"))
@@ -214,21 +246,27 @@ def bootstrap(scanned: DataFrame, docs: DataFrame, work: Workspace, rounds: int
     graph = work.save(rows("base", True).unionByName(rows("loose", False)), "graph")
 
     # Patterns without a candidate vouch for nothing new; those without a seed may, once a round accepts their candidates.
-    able = graph.filter("NOT seed").select("kind", "pattern").distinct()
-    totals = pattern_totals(docs, able.select("pattern").distinct(), work)
+    able = work.save(graph.filter("NOT seed").select("kind", "pattern").distinct(), "able")
+    totals = work.save(pattern_totals(docs, able.select("pattern").distinct(), work), "totals")
     edges = work.save(graph.join(able, ["kind", "pattern"]).join(totals, "pattern"), "edges")
-    confidence = edges.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("confidence")).groupBy("kind", "instance").agg(F.max("confidence").alias("confidence"))
-    for k in range(rounds):
-        known = edges.join(confidence, ["kind", "instance"])
+    was = work.save(edges.groupBy("kind", "instance").agg(F.max("seed").alias("seed")).withColumn("confidence", F.when(F.col("seed"), 1.0).otherwise(0.0)), "confidence0")
+    k = 0
+    while True:
+        k += 1
+        known = edges.join(was.drop("seed"), ["kind", "instance"])
         score = known.groupBy("kind", "pattern").agg(F.sum(F.col("confidence") * F.col("n")).alias("hit"), F.max("total").alias("total"), F.sum("n").alias("seen"), F.sum("confidence").alias("distinct"))
         score = score.select("kind", "pattern", (F.least(F.lit(1.0), F.col("hit") / F.greatest("total", "seen")) * F.least(F.lit(1.0), F.log2(F.col("distinct") + 1) / float(np.log2(support + 1)))).alias("score"))
         # Patterns that more often than not introduce something else don't vouch.
-        vouch = edges.join(score.filter("score >= 0.3"), ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("got"))
-        seeds = edges.groupBy("kind", "instance").agg(F.max("seed").alias("seed"))
-        confidence = work.save(seeds.join(vouch, ["kind", "instance"], "left").select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))).alias("confidence"), "seed"), f"confidence{k}").select("kind", "instance", "confidence", "seed")
-        final = confidence
-        confidence = confidence.drop("seed")
-    return final.filter(~F.col("seed") & (F.col("confidence") >= confident)).select("kind", "instance", "confidence")
+        score = work.save(score.filter(F.col("score") >= VOUCH), f"score{k}")
+        vouch = edges.join(score, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("got"))
+        now = was.select("kind", "instance", "seed", F.col("confidence").alias("old")).join(vouch, ["kind", "instance"], "left")
+        now = work.save(now.withColumn("confidence", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0)))).drop("got"), f"confidence{k}")
+        risen = now.agg(F.max(F.col("confidence") - F.col("old"))).first()[0]
+        work.drop(f"score{k}", f"confidence{k - 1}")
+        was = now.drop("old")
+        if risen is None or risen < tolerance:
+            break
+    return was.filter(~F.col("seed") & (F.col("confidence") >= confident)).select("kind", "instance", "confidence")
 
 
 def find_spans(docs: DataFrame, carry: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from glyspark.llm import pii as P
 from hypothesis import given, settings, strategies as st
 
@@ -84,7 +85,6 @@ def test_patterns_of_common_words_do_not_vouch(spark):
 
 def test_words_that_share_low_hash_bits_do_not_count_for_a_pattern(spark):
     """A table of 2^20 counters, however filled, would take these words for the pattern's."""
-    import numpy as np
     from glyspark.llm._words import word_hashes
 
     def hashes(text):
@@ -92,7 +92,7 @@ def test_words_that_share_low_hash_bits_do_not_count_for_a_pattern(spark):
         return word_hashes(raw, np.array([0, len(raw)]))[0]
 
     low = np.uint64((1 << 20) - 1)
-    phone, me = hashes("phone me:")
+    phone, me = hashes("phone me")
     pair = P._pair(np.array([phone]), np.array([me]))[0]
     h = hashes(" ".join(f"w{k}" for k in range(3_000_000))) & low
     same = [f"w{np.flatnonzero(h == (x & low))[0]}" for x in (me, pair)]
@@ -115,6 +115,88 @@ def test_accepted_candidates_vouch_in_later_rounds(spark):
     assert got[300] == "phone:16:28" and got[301] == ""
 
 
+def plain_confidences(texts, support=P.SUPPORT):
+    """The same graph with dictionaries, run until nothing changes at all."""
+    rows, total = [], {}
+    for text in texts:
+        words = [(m[0].translate(P._LOWER_MAP), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+        for k, (w, _) in enumerate(words):
+            total[w] = total.get(w, 0) + 1
+            if k:
+                pair = f"{words[k - 1][0]} {w}"
+                total[pair] = total.get(pair, 0) + 1
+        base, cards = P.base_spans(text)
+        for seed, spans in ((True, base), (False, P.candidates(text, base, cards))):
+            for kind, a, b in spans:
+                last = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text[:a])[-2:]
+                last = [w.translate(P._LOWER_MAP) for w in last]
+                for p in [" ".join(last[-1:]), " ".join(last)][: len(last)]:
+                    rows.append((kind, text[a:b].lower(), p, seed))
+    able = {(k, p) for k, _, p, seed in rows if not seed}
+    rows = [r for r in rows if (r[0], r[2]) in able]
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    seeds_ = {(k, i) for k, i, _, seed in rows if seed}
+    conf = {(k, i): float((k, i) in seeds_) for k, i, _, _ in rows}
+    for _ in range(300):
+        score = {}
+        for kind, p in able:
+            mine = [(conf[k, i], n) for (k, i, q, _), n in counts.items() if (k, q) == (kind, p)]
+            hit, seen, distinct = sum(c * n for c, n in mine), sum(n for _, n in mine), sum(c for c, _ in mine)
+            score[kind, p] = min(1.0, hit / max(total.get(p, 0), seen)) * min(1.0, np.log2(distinct + 1) / np.log2(support + 1))
+        for k, i in conf:
+            if (k, i) not in seeds_:
+                rest = 1.0
+                for (k2, i2, p, _), _n in counts.items():
+                    if (k2, i2) == (k, i) and score[k, p] >= P.VOUCH:
+                        rest *= max(1 - score[k, p], 1e-9)
+                conf[k, i] = 1 - rest
+    return {x: c for x, c in conf.items() if x not in seeds_ and c >= P.CONFIDENT}
+
+
+def test_graph_scores_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    cues = ["phone me:", "Tel", "whatsapp line", "mail", "ÜBER uns", "the", "host"]
+    shapes = {"seed": lambda: rng.choice([f"+1 (555) 555-{rng.randrange(1000, 1040)}", f"u{rng.randrange(9)}@x.org", f"10.0.0.{rng.randrange(9)}"]), "loose": lambda: rng.choice([f"555-333-{rng.randrange(1000, 1012)}", f"u{rng.randrange(5)} (at) y.org", f"fe80::{rng.randrange(1, 6)}"]), "word": lambda: rng.choice(["later", "x", "me"])}
+    texts = []
+    for _ in range(160):
+        texts.append(" ".join(f"{rng.choice(cues)} {shapes[rng.choice(['seed', 'seed', 'loose', 'word'])]()} {rng.choice(['thanks', 'or', 'so'])}" for _ in range(rng.randrange(1, 4))))
+    d, work = docs(spark, list(enumerate(texts))), P.Workspace(spark, "test")
+    got = {(r.kind, r.instance): r.confidence for r in P.bootstrap(P.scan(d, work, False), d, work, tolerance=1e-9).collect()}
+    want = plain_confidences(texts)
+    assert len(want) >= 3 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_shapes_of_candidates():
+    def found(text):
+        base, cards = P.base_spans(text)
+        return [(k, text[a:b]) for k, a, b in P.candidates(text, base, cards)]
+
+    assert found("Tel. 030 1234567, ou 06 12 34 56 78; (0911) 555 01-23") == [("phone", "030 1234567"), ("phone", "06 12 34 56 78"), ("phone", "(0911) 555 01-23")]
+    assert found("at 2001:db8::1 or ::1 not 10:20:30 nor a::x") == [("ip", "2001:db8::1"), ("ip", "::1")]
+    assert found("ann at mail dot example dot org, bob (at) x [dot] net") == [("email", "ann at mail dot example dot org"), ("email", "bob (at) x [dot] net")]
+    assert found("1234 5678 9012 3456 A1234567, 1234567Z, 123456") == [("card", "1234 5678 9012 3456")]
+
+
+def test_contexts_are_whole_words_however_long():
+    word = "Ab" * 500
+    text = f"{word} . {word}\t: 555-333-2000"
+    assert P.Contexts(text)(text.index("555")) == [word.lower(), f"{word.lower()} {word.lower()}"]
+    assert P.Contexts("+1 23")(0) == [] and P.Contexts("x+1")(1) == ["x"] and P.Contexts("xyz")(2) == ["xy"]
+
+
+def test_rounds_go_on_until_scores_settle(spark):
+    """Each cue is vouched for only by numbers that the cue before it made confident."""
+    cues = ["phone me", "line a", "line b", "line c", "line d", "line e", "line f"]
+    rows = seeds()
+    for k, (one, two) in enumerate(zip(cues, cues[1:])):
+        rows += [(1000 + 100 * k + 10 * i + j, f"so {c} 555-3{k}3-{2000 + i} ok") for i in range(5) for j, c in enumerate((one, two))]
+    rows.append((9000, "yes line f 555-444-7777 it is"))
+    got = {r.doc_id: r.spans for r in P.digest(P.find_spans(docs(spark, rows))).collect()}
+    assert got[9000] == "phone:11:23"
+
+
 def test_redaction(spark):
     rows = [(1, "write a@b.cd or +1 (555) 555-1234."), (2, None), (3, "nothing"), (4, "card 4111 1111-1111 1111 x")]
     df = clashing(docs(spark, rows))
