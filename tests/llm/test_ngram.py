@@ -22,11 +22,14 @@ def brute(rows):
     sets = {i: v for i, v in sets_of(rows).items() if i is not None}
     comp = {i: i for i in sets}
     ids = sorted(sets)
-    for _ in ids:
-        for a in ids:
-            for b in ids:
-                if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+    linked = [(a, b) for a in ids for b in ids if a < b and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if comp[a] != comp[b]:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+                changed = True
     return comp
 
 
@@ -97,6 +100,35 @@ def test_keep_one_keeps_whole_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == [(False, 1), (False, 3), (False, 4), (True, None)]
 
 
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    near = t + " more"
+    rows, want = [], set()
+    for k in range(12):
+        a, b, unlike = 10 * k + 1, 10 * k + 5, " ".join(f"u{k}x{j}" for j in range(k + 1))
+        mine = f"{t} {k} " + " ".join(f"t{k}x{j}" for j in range(60))
+        rows += [(a, mine), (b, mine), (b, unlike), (b, mine.upper()), (b, unlike)]
+        want |= {(a, mine), (b, unlike)}
+    rows += [(900, near), (900, ""), (900, None), (901, t), (901, t), (None, t), (None, t)]
+    want |= {(900, near), (None, t)}
+    got = [(r.doc_id, r.text) for r in N.keep_one(clashing(docs(spark, rows))).collect()]
+    bare = [x for x in got if x[0] == 900 and not x[1]]
+    got = [x for x in got if x not in bare]
+    assert len(bare) == 1 and set(got) == want and len(got) == len(want) + 1
+
+
+def test_very_frequent_shingles_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "MANY", 1 << 40)
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(40)]
+    base = [f"b{k}" for k in range(60)]
+    rows = [(k, " ".join(passage + [f"x{k}y{j}" for j in range(k % 9)])) for k in range(60)] + [(100 + k, edited(base, 2, rng)) for k in range(25)]
+    check(spark, rows)
+    groups = brute(rows)
+    assert {r.doc_id for r in N.keep_one(docs(spark, rows)).collect()} == set(groups.values())
+
+
 @given(st.integers(1, 400), st.integers(1, 400))
 @settings(max_examples=200, deadline=None)
 def test_prefix_lemma(a, b):
