@@ -10,7 +10,8 @@ shorter one. The instance is then a histogram of piece lengths (at most `capacit
 
 Both steps handle whole runs of equal lengths, so the plan is short and independent of the number of
 rows. Each piece finds its place from its rank among the pieces of its length; ranks come from salted
-groups and their cumulated counts.
+groups of a length and their cumulated counts. The salt comes from a row number of the written pieces, so that rows
+which repeat an id or a text spread like others.
 
 Null text counts as empty (one piece, the end id). Repeated rows and null ids are packed like others.
 An empty table gives no rows. Other columns are ignored.
@@ -20,8 +21,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from math import isqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
@@ -30,8 +31,8 @@ from ._tokens import byte_encoder, default_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows aimed at per group of the rank computation.
-GROUP = 1000
+#: Least rows aimed at per group of the rank computation; a length of many has groups of about the root of its rows.
+GROUP = 200
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -197,13 +198,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """Every piece with its sequence and its place there; with_ids adds the ids as bytes."""
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    cut = work.save(pieces(docs, path or default_path("byte_bpe_50k.json"), capacity, end_id, with_ids), "pieces")
+    cut = pieces(docs, path or default_path("byte_bpe_50k.json"), capacity, end_id, with_ids)
+    # Written with the rows, the number stays theirs.
+    cut = work.save(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     # At most `capacity` rows come to the driver.
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan(counts, capacity)
-    salts = int(np.clip(-(-max(counts.values(), default=1) // GROUP), 1, 4096))
-    keyed = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    salts = spark.createDataFrame([(n, -(-c // max(GROUP, isqrt(c)))) for n, c in counts.items()], "length long, salts long")
+    keyed = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = keyed.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     ranked = keyed.withColumn("rank", rank).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("rank") - 1)
