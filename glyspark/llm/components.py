@@ -1,12 +1,14 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a join and a minimum per node; nothing is collected but counts, and each round is written
-to the shared folder, which cuts lineage and survives lost executors. The minima are written before the join, so that
-it is one of plain tables, and Spark may split a hub's edges over tasks (adaptive skew join).
+to the shared folder, which cuts lineage and survives lost executors. The large star's minima are written before
+their join, so that it is one of plain tables, and Spark may split a hub's edges over tasks (adaptive skew join).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import Workspace
@@ -14,12 +16,12 @@ from ._io import Workspace
 ROUNDS = 60
 
 
-def _starred(edges: DataFrame, both: bool, work: Workspace, name: str) -> DataFrame:
+def _starred(edges: DataFrame, both: bool, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Hang each node's neighbours on its least neighbour: the larger ones (large star), or the smaller ones (small star)."""
     n = edges
     if both:
         n = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = work.save(n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+    least = keep(n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     linked = n.join(least, "u")
     if both:
         return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,9 +37,9 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame
     now, before = work.save(tidy, f"{name}0"), None
     for k in range(1, ROUNDS):
         # Small star: each edge points from the larger node to the smaller.
-        large = work.save(_starred(now, True, work, f"{name}_large").filter("u > v").distinct(), f"{name}_edges")
-        now = work.save(_starred(large, False, work, f"{name}_small").filter("u > v").distinct(), f"{name}{k}")
-        work.drop(f"{name}{k - 1}", f"{name}_large", f"{name}_edges", f"{name}_small")
+        large = _starred(now, True, lambda df: work.save(df, f"{name}_least")).filter("u > v").distinct()
+        now = work.save(_starred(large, False).filter("u > v").distinct(), f"{name}{k}")
+        work.drop(f"{name}{k - 1}", f"{name}_least")
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
