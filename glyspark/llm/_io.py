@@ -27,13 +27,18 @@ def release(spark: SparkSession) -> None:
 class Workspace:
     """A folder below spark.checkpoint.dir, which all executors share.
 
-    Tables written here cut lineage and survive lost executors. Where the setting
-    is absent (tests, one machine) the folder lies below the system's temp folder.
+    Tables written here cut lineage and survive lost executors. Where the setting is absent, a local session takes a
+    folder below the system's temp folder; on a cluster, whose machines would not share it, that is an error.
     Results read from it, so it stays until release() or the caller's own clean-up.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spark-checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = f"file://{tempfile.gettempdir()}/spark-checkpoints"
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         ship(spark)
@@ -61,6 +66,12 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, wherever Spark's file systems reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array and n + 1 offsets; null counts as empty."""
     if not len(col):

@@ -30,12 +30,41 @@ def test_empty_table(spark):
 
 
 def test_same_key_same_slot(spark):
-    got = S.sized(docs(spark, [(7, "a"), (7, "b"), (7, None)])).select("vslot").distinct().count()
+    got = S.slotted(S.sized(docs(spark, [(7, "a"), (7, "b"), (7, None)]))).select("vslot").distinct().count()
     assert got == 1
 
 
+def test_a_hot_id_spreads(spark):
+    rows = [(7, "same")] * 3000 + [(100 + k, "x" * (k % 50)) for k in range(2000)]
+    load = [r.b for r in S.shard_documents(docs(spark, rows), 8, slots=256).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 8 and max(load) <= 1.05 * min(load)
+
+
+def test_the_map_is_stored_reread_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    d = docs(spark, [(k, "x" * (k % 300)) for k in range(4000)])
+    one = {r.doc_id: (r.shard, r.map_version) for r in S.shard_documents(d, 4, 256, path).collect()}
+    again = {r.doc_id: (r.shard, r.map_version) for r in S.shard_documents(d, 4, 256, path).collect()}
+    assert one == again and {v for _, v in one.values()} == {1}
+    more = {r.doc_id: (r.shard, r.map_version) for r in S.shard_documents(d, 5, 256, path).collect()}
+    assert {v for _, v in more.values()} == {2} and {x for x, _ in more.values()} == set(range(5))
+    assert 0 < sum(one[k][0] != more[k][0] for k in one) < 0.45 * len(one)
+    stored = spark.read.parquet(path)
+    assert {r.version: r.n for r in stored.groupBy("version").agg(F.count("vslot").alias("n")).collect()} == {1: 256, 2: 256}
+    assert {r.vslot: r.shard for r in S.SlotMaps(spark, path).latest().collect()} == {r.vslot: r.shard for r in S.shard_documents(d, 5, 256, path).select("vslot", "shard").distinct().collect()}
+
+
+def test_parts_of_a_full_slot(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 50)
+    got = S.shard_documents(docs(spark, [(k % 40, "y") for k in range(800)]), 3, slots=8).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 800 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_rebalance_moves_few_slots_and_counts_versions(spark):
-    rows = S.sized(docs(spark, [(k, "x" * (k % 300)) for k in range(4000)]), 256)
+    rows = S.slotted(S.sized(docs(spark, [(k, "x" * (k % 300)) for k in range(4000)])), 256)
     totals = S.slot_totals(rows)
     old = S.slot_map(totals, 4)
     new = S.rebalance(old, totals, 5)
