@@ -7,7 +7,10 @@ out there.
 
 Counterfactual regularisation: in each training text the identity terms are swapped for others of their
 group, and the squared change of the logit is added to the loss; a feature that tells groups apart but not
-toxicity loses its weight, and neutral mentions of a group are not marked.
+toxicity loses its weight, and neutral mentions of a group are not marked. The groups are given (IDENTITY) and learned
+from the sample: words that texts of both labels mention often enough (MENTIONS each), those first that carry a
+chosen feature and so move a score, are paired with the word of that sort whose neighbours are most alike. A word
+most of whose texts are toxic (TOXIC_SHARE) is no neutral mention and never in a learned group.
 
 The model is fitted on a bounded sample, about ROWS learnable rows picked by hash: Spark counts and chooses
 at most FEATURES features, numpy on the driver fits their weights. Labels: a doc_id with several labels counts as toxic if one says
@@ -18,14 +21,12 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._io import Workspace, byte_chunks, text_buffers
-from ._words import LETTERS, distinct, mix, prefix_hash, range_hash, split
+from ._words import LETTERS, LOWER, distinct, mix, prefix_hash, range_hash, split
 from .langid import is_learnable
 
 #: Identity terms by group; in a counterfactual each is replaced by the next of its group.
@@ -40,13 +41,18 @@ THRESHOLD = 0.3
 #: Bounds: sampled rows, chosen features, buckets of the count table, and the chi-square a feature must reach.
 ROWS, FEATURES, BUCKETS, LEAST = 20_000, 3000, 1 << 20, 18.0
 STARTS, ENDS = (3, 4, 5, 6), (4, 5)
+#: Learned identity terms: texts of each label that mention one, the toxic share of its texts at most, the number of
+#: terms, buckets of their neighbours' counts, and the least cosine of two terms of a pair.
+MENTIONS, TOXIC_SHARE, TERMS, NEIGHBOURS, ALIKE = 5, 0.6, 200, 512, 0.5
 
 
-def _swap_table(groups=None) -> dict[bytes, bytes]:
-    out = {}
-    for group in [g for gs in (groups or IDENTITY).values() for g in gs]:
+def _swap_table(groups=None, learned: list[list[bytes]] = ()) -> dict[bytes, bytes]:
+    """Each term's replacement: the next of its group. Given groups (by language) come before learned ones."""
+    out: dict[bytes, bytes] = {}
+    given = [[w.encode() for w in g] for gs in (IDENTITY if groups is None else groups).values() for g in gs]
+    for group in [*given, *learned]:
         for a, b in zip(group, group[1:] + group[:1], strict=True):
-            out[a.encode()] = b.encode()
+            out.setdefault(a, b)
     return out
 
 
@@ -77,8 +83,8 @@ def word_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: n
 class Swapper:
     """Counterfactual features of a text's distinct words."""
 
-    def __init__(self, groups=None):
-        table = _swap_table(groups)
+    def __init__(self, groups=None, learned: list[list[bytes]] = ()):
+        table = _swap_table(groups, learned)
         self.keys = np.array(sorted(_hash_word(w) for w in table), np.uint64)
         by = {int(_hash_word(a)): b for a, b in table.items()}
         rows = []
@@ -89,6 +95,8 @@ class Swapper:
 
     def __call__(self, features: np.ndarray) -> tuple[np.ndarray, bool]:
         """The words' features after the swap, and whether any word was swapped."""
+        if not len(self.keys):
+            return features, False
         at = np.minimum(np.searchsorted(self.keys, features[:, 0]), len(self.keys) - 1)
         hit = self.keys[at] == features[:, 0]
         if not hit.any():
@@ -98,15 +106,17 @@ class Swapper:
         return out, True
 
 
-def _doc_words(batch, at: int):
-    """For each chunk: first row, per document the index of its words among the chunk's distinct words, and their features."""
+def _doc_words(batch, at: int, words: bool = False):
+    """For each chunk: first and end row, per document the index of its words among the chunk's distinct words, and
+    their features; words adds a function from index to the lower-cased word."""
     raw, offsets = text_buffers(batch.column(at))
     for lo, hi in byte_chunks(offsets):
         part = raw[offsets[lo] : offsets[hi]]
         s, e, begin = split(part, offsets[lo : hi + 1] - offsets[lo], LETTERS)
         sums = prefix_hash(part)
         _, first, inverse = distinct(range_hash(sums, s, e))
-        yield lo, hi, begin, inverse, word_features(part, s[first], e[first], sums)
+        found = lo, hi, begin, inverse, word_features(part, s[first], e[first], sums)
+        yield (*found, lambda k: LOWER[part[s[first[k]] : e[first[k]]]].tobytes()) if words else found  # noqa: B023
 
 
 def _known(features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -194,6 +204,69 @@ def choose_features(rows: DataFrame, total: int, toxic: int) -> np.ndarray:
     return np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
 
 
+def learned_groups(rows: DataFrame, chosen: np.ndarray) -> list[list[bytes]]:
+    """Pairs of words of rows (text, toxic) that both labels mention and whose neighbours are alike, at most TERMS words.
+
+    Words with a chosen feature come first, then the most frequent ones.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(chosen)  # FEATURES at most
+
+    def mentions(batches):
+        pick = shared.value
+        for batch in batches:
+            bad = batch.column(1).to_numpy()
+            for lo, hi, begin, inverse, feats, word in _doc_words(batch, 0, words=True):
+                able = (_known(feats, pick) >= 0).any(axis=1)
+                n = np.zeros((2, len(feats)), np.int64)
+                for i in range(hi - lo):
+                    n[bad[lo + i], np.unique(inverse[begin[i] : begin[i + 1]])] += 1
+                yield pa.RecordBatch.from_arrays([pa.array([word(k) for k in range(len(feats))], pa.binary()), pa.array(n[0]), pa.array(n[1]), pa.array(able)], names=["word", "clean", "toxic", "able"])
+
+    often = rows.mapInArrow(mentions, "word binary, clean long, toxic long, able boolean").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.max("able").alias("able"))
+    often = often.filter((F.col("clean") >= MENTIONS) & (F.col("toxic") >= MENTIONS) & (F.col("toxic") <= TOXIC_SHARE * (F.col("clean") + F.col("toxic"))))
+    terms = sorted(bytes(r["word"]) for r in often.orderBy(F.desc("able"), F.desc(F.col("clean") + F.col("toxic")), "word").limit(TERMS).collect())
+    if len(terms) < 2:
+        return []
+    keys = np.array([_hash_word(w) for w in terms], np.uint64)
+    order = np.argsort(keys)
+
+    def neighbours(batches):
+        table = np.zeros((len(terms), 2 * NEIGHBOURS))
+        for batch in batches:
+            for _, _, begin, inverse, feats in _doc_words(batch, 0):
+                at = np.minimum(np.searchsorted(keys[order], feats[:, 0]), len(keys) - 1)
+                term = np.where(keys[order][at] == feats[:, 0], order[at], -1)[inverse]
+                bucket = (feats[inverse, 0] >> np.uint64(20)).astype(np.int64) % NEIGHBOURS
+                edge = np.zeros(len(inverse) + 1, bool)
+                edge[begin] = True
+                place = np.flatnonzero(term >= 0)
+                left = place[~edge[place]]
+                right = place[~edge[place + 1]]
+                np.add.at(table, (term[left], bucket[left - 1]), 1)
+                np.add.at(table, (term[right], NEIGHBOURS + bucket[right + 1]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms)).astype(np.int32)), pa.array(list(table), pa.list_(pa.float64()))], names=["term", "counts"])
+
+    # TERMS rows of fixed width from each task, added up before they come to the driver.
+    parts = rows.mapInArrow(neighbours, "term int, counts array<double>").select("term", F.posexplode("counts")).filter("col > 0").groupBy("term", "pos").agg(F.sum("col").alias("n")).toArrow()
+    table = np.zeros((len(terms), 2 * NEIGHBOURS))
+    table[parts.column("term").to_numpy(), parts.column("pos").to_numpy()] = parts.column("n").to_numpy()
+    # Common neighbours count for less.
+    table = np.log1p(table)
+    table -= table.mean(axis=0)
+    table /= np.maximum(np.linalg.norm(table, axis=1), 1e-12)[:, None]
+    alike = np.triu(table @ table.T, 1)
+    out, used = [], set()
+    for k in np.argsort(-alike, axis=None, kind="stable"):
+        i, j = divmod(int(k), len(terms))
+        if alike[i, j] < ALIKE:
+            break
+        if not {i, j} & used:
+            used |= {i, j}
+            out.append([terms[i], terms[j]])
+    return out
+
+
 def _rows_to_csr(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     arrays = [np.frombuffer(r, np.int32) for r in rows]
     many = np.array([len(a) for a in arrays], np.int64)
@@ -227,12 +300,19 @@ def fit_logistic(x: list[bytes], y: np.ndarray, swapped: list[tuple[int, bytes]]
 
 
 class Model:
-    def __init__(self, features: np.ndarray, weights: np.ndarray):
+    """Sorted feature hashes, their weights and, last, the intercept; of the fit, the learned groups, the training rows,
+    those with a counterfactual, and those whose chosen features it changes."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray, groups: list[list[bytes]] = (), rows: int = 0, swapped: int = 0, changed: int = 0):
         self.features, self.weights = features, weights
+        self.groups, self.rows, self.swapped, self.changed = list(groups), rows, swapped, changed
+
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float = 2.0, groups=None, learn_groups: bool = True) -> Model:
+    """Fit on the learnable rows of docs (doc_id, text) that labels (doc_id, toxic) marks.
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float = 2.0, groups=None) -> Model:
-    """Fit on the learnable rows of docs (doc_id, text) that labels (doc_id, toxic) marks."""
+    groups: lists of identity terms by language, in place of IDENTITY; learn_groups adds those that the sample holds.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.least(F.greatest("toxic", F.lit(0)), F.lit(1))).alias("toxic"))
     marks = marks.filter(is_learnable(F.col("doc_id"))).withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)))
     # The same hash picks labels and texts, so that no text is shuffled; about `rows` labels are left to broadcast.
@@ -245,10 +325,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float =
         p = min(max(toxic / total if total else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.uint64), np.array([np.log(p / (1 - p))]))
     chosen = choose_features(known, total, toxic)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    found = learned_groups(known, chosen) if learn_groups else []
+    shared = docs.sparkSession.sparkContext.broadcast((chosen, found))
 
     def rows_of(batches):
-        pick, swap = shared.value, Swapper(groups)
+        pick, swap = shared.value[0], Swapper(groups, shared.value[1])
         for batch in batches:
             out, out_c = [], []
             for lo, hi, begin, inverse, feats in _doc_words(batch, 0):
@@ -270,7 +351,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, penalty: float =
     # In one order whatever the order of tasks, so that the model is the same.
     got = sorted(((bytes(r["x"]), None if r["swapped"] is None else bytes(r["swapped"]), r["toxic"]) for r in got), key=lambda r: (r[0], r[1] or b"", r[2]))
     swapped = [(i, r[1]) for i, r in enumerate(got) if r[1] is not None]
-    return Model(chosen, fit_logistic([r[0] for r in got], np.array([r[2] for r in got], float), swapped, len(chosen), penalty))
+    weights = fit_logistic([r[0] for r in got], np.array([r[2] for r in got], float), swapped, len(chosen), penalty)
+    return Model(chosen, weights, found, len(got), len(swapped), sum(got[i][0] != x for i, x in swapped))
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:

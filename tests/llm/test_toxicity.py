@@ -1,20 +1,21 @@
 import random
+import re
 
 import numpy as np
 from glyspark.llm import toxicity as X
-from pyspark.sql import functions as F
 
 from .helpers import AWKWARD, clashing, docs, learnable
 
 
-def corpus(n=400, seed=1):
+def corpus(n=400, seed=1, shown=1.0):
+    """shown: the share of toxic texts that hold a toxic word."""
     rng = random.Random(seed)
     plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru") for b in ("ten", "dor", "vas", "pel", "sim")]
     rows, marks = [], []
     for i in range(n):
         words = rng.choices(plain, k=rng.randrange(8, 40))
         bad = i % 5 == 0
-        if bad:
+        if bad and rng.random() < shown:
             words.insert(rng.randrange(len(words)), rng.choice(["grobul", "grobax", "vilnt"]))
         # Toxic texts mention one group more often than clean ones do.
         if rng.random() < (0.8 if bad else 0.1):
@@ -37,13 +38,57 @@ def test_held_out_accuracy_and_contract(spark):
     assert len(held) > 50 and np.mean([got[i].predicted == truth[i] for i in held]) > 0.95
 
 
+def gaps(spark, rows, marks, probe, **options):
+    """Score gap of two probes, their scores and the model, without and with the term."""
+    d, m = docs(spark, rows + probe), labels(spark, marks)
+    out = []
+    for p in (0.0, 50.0):
+        model = X.train(d, m, penalty=p, **options)
+        a, b = (r.score for r in X.predict(d.filter("doc_id >= 10000"), model).orderBy("doc_id").collect())
+        out.append((abs(a - b), a, model))
+    return out
+
+
 def test_counterfactual_penalty_frees_neutral_mentions(spark):
-    rows, marks = corpus()
+    rows, marks = corpus(shown=0.4)
     probe = [(10_000, "muslims katen lodor misim"), (10_001, "christians katen lodor misim")]
-    d, m = docs(spark, rows + probe), labels(spark, marks)
-    free, tied = (X.predict(d.filter("doc_id >= 10000"), X.train(d, m, penalty=p)).orderBy("doc_id").collect() for p in (0.0, 50.0))
-    assert abs(tied[0].score - tied[1].score) < abs(free[0].score - free[1].score) or free[0].score < 0.3
-    assert tied[0].predicted == 0
+    (free, high, _), (tied, low, model) = gaps(spark, rows, marks, probe, learn_groups=False)
+    assert model.swapped > 20 and model.changed > 20
+    assert free > 0.1 and tied < 0.5 * free and low < high
+
+
+def test_groups_are_learned_from_the_corpus(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i, (t, (_, _, bad)) in enumerate(zip(*corpus(500, seed=3, shown=0.4))):
+        text = t[1].replace("muslims ", "")
+        who = "zorvian" if rng.random() < (0.8 if bad else 0.3) else "lumitar"
+        rows.append((i, f"{text} dear {who} people katen"))
+        marks.append((i, 1, bad))
+    probe = [(10_000, "dear zorvian people katen lodor"), (10_001, "dear lumitar people katen lodor")]
+    (free, high, _), (tied, low, model) = gaps(spark, rows, marks, probe, groups={})
+    assert [b"lumitar", b"zorvian"] in model.groups and model.changed > 100
+    assert not any(w.startswith((b"grob", b"viln")) for g in model.groups for w in g)
+    assert free > 0.05 and tied < 0.5 * free and low < high
+
+
+def test_scores_equal_a_direct_sum(spark):
+    rows, marks = corpus(200)
+    rows += [(5000 + (i or 0), t) for i, t in AWKWARD]
+    d = docs(spark, rows)
+    model = X.train(d, labels(spark, marks))
+    weight = dict(zip(model.features.tolist(), model.weights))
+    want = []
+    for i, t in rows:
+        z = model.weights[-1]
+        words = {w.encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t or "")}
+        seen = set()
+        for w in words:
+            seen |= set(X.word_features(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0].tolist())
+        want.append((i, 1 / (1 + np.exp(-(z + sum(weight.get(f, 0.0) for f in seen - {0}))))))
+    got = [(r.doc_id, r.score) for r in X.predict(d, model).collect()]
+    assert [i for i, _ in sorted(got, key=str)] == [i for i, _ in sorted(want, key=str)]
+    assert np.allclose(sorted(s for _, s in got), sorted(s for _, s in want), atol=1e-9) and dict(got).keys() == dict(want).keys()
 
 
 def test_labels_of_held_out_rows_are_not_learned(spark):
