@@ -126,13 +126,11 @@ SELECT doc_id, n AS n_shingles, component_id, rep FROM sized JOIN low ON node =
 
 #: All pairs by cosine, and reachability by links.
 EMBEDDING_SQL = """
-WITH RECURSIVE size AS (
-  SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
-), good AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, size
-  WHERE len(embedding) = d AND list_count(embedding) = d AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE list_count(embedding) = len(embedding) AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9e0
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9e0 END
 ), reach AS (
   SELECT vec_id AS node, vec_id AS root FROM embeddings
   UNION
