@@ -6,8 +6,9 @@ code within distance m * r + a has been met (else it differed in more bits than
 that many distinct ids at least are verified within the covered distance.
 
 Equal codes are one entry with their k + 1 smallest ids, which is all that a top k can use; equal queries are
-answered once. Entries are dealt to shards and queries to blocks; each task indexes one shard and searches it
-for one block, and the shards' answers are merged. Shards and blocks have bounded sizes.
+answered once. Entries are dealt to shards of a bounded size, each of which is indexed once; the queries stream
+through it, batch by batch, and the shards' answers are merged. Only where there are fewer shards than cores is a
+shard copied, so that blocks of the queries run side by side.
 
 Ties go to the smaller id. A query is not its own answer. Vectors that are null, empty, of another length than
 most, or hold null or NaN have no code: they neither ask nor answer. Rows that repeat an id and its code
@@ -28,8 +29,8 @@ from ._io import Workspace
 K = 10
 EVERY = 20
 SEGMENT = 16
-#: Most entries of a shard and queries of a block; queries of a block that are searched at once.
-SHARD, BLOCK, AT_ONCE = 1_000_000, 50_000, 64
+#: Most entries aimed at per shard; queries that are searched at once.
+SHARD, AT_ONCE = 1_000_000, 64
 #: About the most entries verified at once.
 STEP = 1 << 21
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -174,33 +175,46 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "v
     n, q = entries.count(), questions.count()
     shards = max(1, -(-n // SHARD))
     cores = spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-q // BLOCK), min(2 * cores // shards, -(-q // 64)))
+    blocks = max(1, min(2 * cores // shards, -(-q // 64)))
     deal = F.pmod(F.xxhash64("code"), F.lit(1 << 30))
-    base = entries.select((deal % shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "code", "ids")
-    ask = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "code")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("code", pa.binary()), ("id", pa.int64()), ("distance", pa.int32())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids = left.column("ids").combine_chunks()
-        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        index = MultiIndex(_matrix(left.column("code")), np.diff(offsets))
-        questions = _matrix(right.column("code"))
-        members = (offsets, flat)
-        repeated = len(np.unique(flat)) < len(flat)
-        out = []
-        for lo in range(0, len(questions), AT_ONCE):
-            some = questions[lo : lo + AT_ONCE]
-            if repeated:
-                a, found, dist = index.search(some, need, members)
-            else:
-                a, found, dist = _nearest_ids((np.zeros(0, np.int64),) * 3, _members(*index.search(some, need), members), need)
-            codes_ = [questions[lo + i].tobytes() for i in a]
-            out.append(pa.table([pa.array(codes_, pa.binary()), pa.array(found), pa.array(dist.astype(np.int32))], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
-
-    met = base.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(search, "code binary, id long, distance int")
+    none = F.lit(None).cast("array<long>")
+    base = entries.select((deal % shards).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("role"), "code", "ids")
+    ask = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("role"), "code", none.alias("ids"))
+    schema = pa.schema([("code", pa.binary()), ("id", pa.int64()), ("distance", pa.int32())])
+
+    def search(batches):
+        """A group's entries come first, then its queries; one index is held at a time."""
+        group, parts, index, members, repeated = None, [], None, None, False
+        for batch in batches:
+            key = batch.column(0).to_numpy() * blocks + batch.column(1).to_numpy()
+            role = batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (role[1:] != role[:-1]))) if len(key) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                some = batch.slice(lo, hi - lo)
+                if key[lo] != group:
+                    group, parts, index = key[lo], [], None
+                if role[lo] == 0:
+                    parts.append(some)
+                    continue
+                if not parts and index is None:
+                    continue  # a shard without entries
+                if index is None:
+                    left = pa.Table.from_batches(parts).combine_chunks()
+                    ids = left.column("ids").combine_chunks()
+                    members = ids.offsets.to_numpy(), ids.values.to_numpy()
+                    index, parts = MultiIndex(_matrix(left.column("code")), np.diff(members[0])), []
+                    repeated = len(np.unique(members[1])) < len(members[1])
+                questions = _matrix(some.column(3))
+                for at in range(0, len(questions), AT_ONCE):
+                    q = questions[at : at + AT_ONCE]
+                    if repeated:
+                        a, found, dist = index.search(q, need, members)
+                    else:
+                        a, found, dist = _nearest_ids((np.zeros(0, np.int64),) * 3, _members(*index.search(q, need), members), need)
+                    yield pa.RecordBatch.from_arrays([pa.array([q[i].tobytes() for i in a], pa.binary()), pa.array(found), pa.array(dist.astype(np.int32))], schema=schema)
+
+    dealt = base.unionByName(ask).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "role")
+    met = dealt.mapInArrow(search, "code binary, id long, distance int")
     if shards > 1:
         w = Window.partitionBy("code").orderBy("distance", "id")
         met = met.groupBy("code", "id").agg(F.min("distance").alias("distance")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= need).drop("n")
