@@ -155,9 +155,8 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     out["mage"] = _on("m5", E.mage), O.mage("m5")
     out["mage_by_user"] = _on("raw", E.mage), O.mage("raw")
     for k in (1, 2, 3):
-        # The pruning of approach 1 is a sequence of dependent passes, which SQL can't express.
-        out[f"mage_baghurst_{k}"] = _on("m5", E.mage_baghurst, 1, k), O.mage_baghurst("m5", k) if k > 1 else None
-        out[f"excursions_{k}"] = _on("m5", E.excursions, 1, k), O.excursions("m5", k) if k > 1 else None
+        out[f"mage_baghurst_{k}"] = _on("m5", E.mage_baghurst, 1, k), O.mage_baghurst("m5", k)
+        out[f"excursions_{k}"] = _on("m5", E.excursions, 1, k), O.excursions("m5", k)
     for k in (1, 2):
         out[f"modd_{k}"] = _on("m5", T.modd, k), O.modd("m5", k)
     out["conga_4"] = _on("m30", T.conga, 4), O.conga("m30", "[4]")

@@ -52,9 +52,9 @@ def smooth(df: DataFrame, by=BY) -> DataFrame:
     rows, w = _numbered(df, by), X.by_time(by)
     taps = [F.lead("g", k - 4).over(w) if k > 4 else F.lag("g", 4 - k).over(w) if k < 4 else F.col("g") for k in range(len(KERNEL))]
     centre = reduce(lambda a, b: a + b, (F.lit(x / sum(KERNEL)) * t for x, t in zip(KERNEL, taps, strict=True)))
-    head = F.avg("g").over(w.rowsBetween(Window.unboundedPreceding, 4))
-    tail = F.avg("g").over(w.rowsBetween(-4, Window.unboundedFollowing))
-    return rows.withColumn("smooth", F.when(F.col("idx") >= F.col("n") - 4, tail).when(F.col("idx") < 4, head).otherwise(centre).cast("int"))
+    # The first four readings have no more than four before them, the last no more than four after: one bounded frame serves both.
+    edge = F.avg("g").over(w.rowsBetween(-4, 4))
+    return rows.withColumn("smooth", F.when((F.col("idx") >= F.col("n") - 4) | (F.col("idx") < 4), edge).otherwise(centre).cast("int"))
 
 
 def potential_points(df: DataFrame, by=BY) -> DataFrame:
@@ -79,9 +79,11 @@ def potential_points(df: DataFrame, by=BY) -> DataFrame:
 
 
 def _ends(df: DataFrame, by) -> DataFrame:
-    """First and last reading of each series."""
-    rows = _numbered(df, by)
-    return rows.filter((F.col("idx") == 0) | (F.col("idx") == F.col("n") - 1)).select(*by, "idx", "g", "time", "n", "sd")
+    """First and last reading of each series, by one aggregation."""
+    reading = F.struct("time", "g")
+    whole = df.select(*by, "time", G().alias("g")).groupBy(*by).agg(F.min(reading).alias("a"), F.max(reading).alias("b"), F.count(F.lit(1)).alias("n"), F.stddev_samp("g").alias("sd"))
+    both = F.array_distinct(F.array(*(F.struct(at.cast("int").alias("idx"), F.col(f"{x}.g").alias("g"), F.col(f"{x}.time").alias("time")) for x, at in (("a", F.lit(0)), ("b", F.col("n") - 1)))))
+    return whole.filter("n > 0").select(*by, F.explode(both).alias("x"), "n", "sd").select(*by, "x.idx", "x.g", "x.time", "n", "sd")
 
 
 def _prune(points: list[tuple[int, float]], thr: float) -> list[int]:
@@ -124,7 +126,7 @@ def _points_1(df: DataFrame, threshold_sd: float, by) -> DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
         inner = pdf[(pdf["rank"] >= 0) & (pdf["rank"] < 2**31 - 1)]
         if not len(inner):
-            return pdf.iloc[:0][[*keys, "idx", "g", "time"]]
+            return pdf.iloc[:0][[*keys, "idx", "g", "time", "sd"]]
         first, last = pdf.iloc[0], pdf.iloc[-1]
         points = list(zip(inner["idx"].astype(int), inner["g"].astype(float), strict=True))
         if first["rank"] < 0 and points[0][0] > 0 and first["g"] != points[0][1]:
@@ -132,9 +134,9 @@ def _points_1(df: DataFrame, threshold_sd: float, by) -> DataFrame:
         if last["rank"] == 2**31 - 1 and points[-1][0] < last["idx"] and last["g"] != points[-1][1]:
             points.append((int(last["idx"]), float(last["g"])))
         keep = _prune(points, threshold_sd * float(pdf["sd"].iloc[0]))
-        return pdf[pdf["idx"].isin(keep)].drop_duplicates("idx")[[*keys, "idx", "g", "time"]]
+        return pdf[pdf["idx"].isin(keep)].drop_duplicates("idx")[[*keys, "idx", "g", "time", "sd"]]
 
-    schema = both.select(*by, "idx", "g", "time").schema
+    schema = both.select(*by, "idx", "g", "time", "sd").schema
     # One group holds the turning points of a series, not its readings.
     if by:
         return both.groupBy(*by).applyInPandas(pick, schema)
@@ -157,7 +159,7 @@ def _points_2(df: DataFrame, threshold_sd: float, by) -> DataFrame:
     whole = Window.partitionBy(*by)
     points = points.withColumn("keep", F.coalesce(extreme, F.lit(False))).withColumn("some", F.max("keep").over(whole))
     edge = (F.col("idx") == 0) | (F.col("idx") == F.col("n") - 1)
-    return points.filter(F.col("keep") | (F.col("some") & edge)).select(*by, "idx", "g", "time").distinct()
+    return points.filter(F.col("keep") | (F.col("some") & edge)).select(*by, "idx", "g", "time", "sd").dropDuplicates([*by, "idx"])
 
 
 def _points_3(df: DataFrame, threshold_sd: float, by) -> DataFrame:
@@ -170,19 +172,19 @@ def _points_3(df: DataFrame, threshold_sd: float, by) -> DataFrame:
     slight = F.when(F.col("kind") == "peak", (up < half) | (down < half)).otherwise((-up < half) | (-down < half))
     between = (F.col("kind0") != F.col("kind")) & (F.col("kind1") != F.col("kind"))
     skip = F.col("kind0").isNotNull() & F.col("kind1").isNotNull() & ((F.col("kind0") == F.col("kind")) | (between & slight))
-    kept = p.filter(~F.coalesce(skip, F.lit(False))).select(*by, "idx", "g", "time").distinct()
+    kept = p.filter(~F.coalesce(skip, F.lit(False))).select(*by, "idx", "g", "time", "sd").dropDuplicates([*by, "idx"])
     # Below two points, the ends of the series fill in: both if there is none; the last, or the first, beside a lone one.
     ends = _ends(df, by)
     many = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.min("idx").alias("only"))
     fill = (join_on(ends, many, by) if by else ends.crossJoin(F.broadcast(many))).withColumn("kept", F.coalesce("kept", F.lit(0)))
     first, last = F.col("idx") == 0, F.col("idx") == F.col("n") - 1
     lone = (F.col("kept") == 1) & (F.col("n") > 1) & F.when(F.col("only") == 0, last).otherwise(first)
-    fill = fill.filter((F.col("kept") == 0) | lone).select(*by, "idx", "g", "time")
-    return kept.unionByName(fill).distinct()
+    fill = fill.filter((F.col("kept") == 0) | lone).select(*by, "idx", "g", "time", "sd")
+    return kept.unionByName(fill).dropDuplicates([*by, "idx"])
 
 
 def turning_points(df: DataFrame, threshold_sd: float = 1, approach: int = 1, by=BY) -> DataFrame:
-    """idx, g and time of the turning points of approach 1 (smoothing and pruning), 2 (direct) or 3 (smoothing and filter)."""
+    """idx, g, time and the series' sd of the turning points of approach 1 (smoothing and pruning), 2 (direct) or 3 (smoothing and filter)."""
     try:
         return {1: _points_1, 2: _points_2, 3: _points_3}[approach](df, threshold_sd, by)
     except KeyError:
@@ -192,9 +194,8 @@ def turning_points(df: DataFrame, threshold_sd: float = 1, approach: int = 1, by
 def excursions(df: DataFrame, threshold_sd: float = 1, approach: int = 1, by=BY) -> DataFrame:
     """Steps between neighbouring turning points that reach the threshold."""
     o = Window.partitionBy(*by).orderBy("idx")
-    sds = df.groupBy(*by).agg(F.stddev_samp(G()).alias("sd"))
     p = turning_points(df, threshold_sd, approach, by).withColumn("g0", F.lag("g").over(o)).withColumn("start_time", F.lag("time").over(o)).filter("g0 IS NOT NULL")
-    p = join_on(p, sds, by).withColumn("magnitude", F.abs(F.col("g") - F.col("g0"))).filter(F.col("magnitude") >= F.col("sd") * threshold_sd)
+    p = p.withColumn("magnitude", F.abs(F.col("g") - F.col("g0"))).filter(F.col("magnitude") >= F.col("sd") * threshold_sd)
     return p.select(*by, "start_time", F.col("time").alias("end_time"), F.col("g0").alias("start_value"), F.col("g").alias("end_value"), F.when(F.col("g") > F.col("g0"), "up").otherwise("down").alias("direction"), "magnitude")
 
 

@@ -18,7 +18,7 @@ TABLES = {"raw": RAW, "m5": _grid(5), "m30": _grid(30)}
 def final(table: str, body: str, floats: list[str], others: list[str] | None = None, ctes: str = "", keys: str = "series_id") -> str:
     """WITH the table (and ctes) SELECT keys, others as they are and floats rounded, from body."""
     cols = [c for c in [keys, *(others or [])] if c] + [f'round(CAST("{f}" AS DOUBLE), {DIGITS}) AS "{f}"' for f in floats]
-    return f"WITH {TABLES[table]}{', ' + ctes if ctes else ''} SELECT {', '.join(cols)} FROM ({body}) AS body"
+    return f"WITH RECURSIVE {TABLES[table]}{', ' + ctes if ctes else ''} SELECT {', '.join(cols)} FROM ({body}) AS body"
 
 
 def pct(condition: str) -> str:
@@ -356,30 +356,60 @@ ok AS (SELECT *, coalesce(((a < g AND g > b) OR (a > g AND g < b)) AND (abs(g -
 pts AS (SELECT series_id, idx, g, time, sd FROM (SELECT *, bool_or(keep) OVER (PARTITION BY series_id) AS some_kept FROM ok) WHERE keep OR (some_kept AND (idx = 0 OR idx = n - 1)))"""
 
 
-def _points_3(table: str) -> str:
-    """For series whose filter leaves two points at least."""
+def _potential(table: str) -> str:
     taps = " + ".join(f"{w / 46!r} * " + ("g" if k == 4 else f"lag(g, {4 - k}) OVER w" if k < 4 else f"lead(g, {k - 4}) OVER w") for k, w in enumerate((1, 2, 4, 8, 16, 8, 4, 2, 1)))
     return f"""{_numbered(table)},
-smo AS (SELECT *, CAST(trunc(CASE WHEN idx >= n - 4 THEN avg(g) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND UNBOUNDED FOLLOWING) WHEN idx < 4 THEN avg(g) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 4 FOLLOWING) ELSE {taps} END) AS INTEGER) AS s FROM num WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+smo AS (SELECT *, CAST(trunc(CASE WHEN idx >= n - 4 OR idx < 4 THEN avg(g) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) ELSE {taps} END) AS INTEGER) AS s FROM num WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
 trn AS (SELECT *, coalesce(sign(lead(s) OVER w - s) <> sign(s - lag(s) OVER w), FALSE) AS turn FROM smo WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
 str AS (SELECT *, sum(CAST(turn AS INTEGER)) OVER (PARTITION BY series_id ORDER BY idx) AS stretch FROM trn),
 ends AS (SELECT series_id, stretch, lead(arg_min(s, idx)) OVER (PARTITION BY series_id ORDER BY stretch) AS s1, arg_min(s, idx) AS s0 FROM str WHERE stretch > 0 GROUP BY 1, 2),
-pot AS (SELECT str.*, s0 < s1 AS peak FROM str JOIN ends USING (series_id, stretch) WHERE s1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, stretch ORDER BY CASE WHEN s0 < s1 THEN -g ELSE g END, idx) = 1),
+pot AS (SELECT str.*, s0 < s1 AS peak FROM str JOIN ends USING (series_id, stretch) WHERE s1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, stretch ORDER BY CASE WHEN s0 < s1 THEN -g ELSE g END, idx) = 1)"""
+
+
+def _points_3(table: str) -> str:
+    """For series whose filter leaves two points at least."""
+    return f"""{_potential(table)},
 nb AS (SELECT *, lag(g) OVER w AS g0, lead(g) OVER w AS g1, lag(peak) OVER w AS k0, lead(peak) OVER w AS k1 FROM pot WINDOW w AS (PARTITION BY series_id ORDER BY stretch)),
 pts AS (SELECT DISTINCT series_id, idx, g, time, sd FROM nb WHERE k0 IS NULL OR k1 IS NULL OR NOT (k0 = peak OR (k0 <> peak AND k1 <> peak AND CASE WHEN peak THEN g - g0 < sd / 2 OR g - g1 < sd / 2 ELSE g0 - g < sd / 2 OR g1 - g < sd / 2 END)))"""
 
 
+def _points_1(table: str) -> str:
+    """Passes over the list of points of a series, until one drops nothing."""
+    before, after = "p[i - 1].v", "p[i + 1].v"
+
+    def kept(points: str, drop: str) -> str:
+        return f"list_filter({points}, lambda x, i: i = 1 OR i = len({points}) OR NOT ({drop.replace('p[', points + '[')}))"
+
+    minor = f"abs(x.v - {before}) < thr AND abs(x.v - {after}) < thr AND NOT (x.v > greatest({before}, {after}) OR x.v < least({before}, {after}))"
+    straight = f"(x.v - {before}) * ({after} - x.v) > 0"
+    one_sided = f"(abs(x.v - {before}) >= thr) <> (abs(x.v - {after}) >= thr)"
+    return f"""{_potential(table)},
+lst AS (SELECT series_id, any_value(sd) AS thr, list(struct_pack(i := idx, v := g) ORDER BY stretch) AS p FROM pot GROUP BY 1),
+fst AS (SELECT series_id, min(CASE WHEN idx = 0 THEN g END) AS g0, min(CASE WHEN idx = n - 1 THEN g END) AS g1, max(n) - 1 AS top FROM num GROUP BY 1),
+beg AS (SELECT series_id, thr, list_concat(list_concat(CASE WHEN p[1].i > 0 AND g0 <> p[1].v THEN [struct_pack(i := CAST(0 AS BIGINT), v := g0)] ELSE [] END, p), CASE WHEN p[-1].i < top AND g1 <> p[-1].v THEN [struct_pack(i := top, v := g1)] ELSE [] END) AS p FROM lst JOIN fst USING (series_id)),
+rec AS (SELECT series_id, thr, p, TRUE AS changed FROM beg
+  UNION ALL
+  SELECT series_id, thr, {kept("r", straight)}, len(r) < len(p) FROM (SELECT *, {kept("p", minor)} AS r FROM rec WHERE changed)),
+mid AS (SELECT series_id, thr, CASE WHEN len(p) >= 3 THEN {kept("p", one_sided)} ELSE p END AS p, len(p) >= 3 AS many FROM rec WHERE NOT changed),
+lin AS (SELECT series_id, thr, CASE WHEN many THEN {kept("p", straight)} ELSE p END AS p FROM mid),
+lef AS (SELECT series_id, thr, CASE WHEN len(p) >= 2 AND abs(p[1].v - p[2].v) < thr THEN p[2:] ELSE p END AS p FROM lin),
+rig AS (SELECT series_id, CASE WHEN len(p) >= 2 AND abs(p[-1].v - p[-2].v) < thr THEN p[:-2] ELSE p END AS p FROM lef),
+kpt AS (SELECT DISTINCT series_id, x.i AS idx FROM (SELECT series_id, unnest(p) AS x FROM rig)),
+pts AS (SELECT series_id, idx, g, time, sd FROM num JOIN kpt USING (series_id, idx))"""
+
+
+_POINTS = {1: _points_1, 2: _points_2, 3: _points_3}
 _EXCURSIONS = "exc AS (SELECT * FROM (SELECT series_id, lag(time) OVER w AS start_time, time AS end_time, lag(g) OVER w AS start_value, g AS end_value, abs(g - lag(g) OVER w) AS magnitude, sd FROM pts WINDOW w AS (PARTITION BY series_id ORDER BY idx)) WHERE magnitude >= sd)"
 
 
 def excursions(table: str, approach: int) -> str:
-    ctes = f"{(_points_2 if approach == 2 else _points_3)(table)}, {_EXCURSIONS}"
+    ctes = f"{_POINTS[approach](table)}, {_EXCURSIONS}"
     body = "SELECT *, CASE WHEN end_value > start_value THEN 'up' ELSE 'down' END AS direction FROM exc"
     return final(table, body, ["start_value", "end_value", "magnitude"], ["start_time", "end_time", "direction"], ctes)
 
 
 def mage_baghurst(table: str, approach: int) -> str:
-    ctes = f"{(_points_2 if approach == 2 else _points_3)(table)}, {_EXCURSIONS}, dev AS (SELECT series_id, stddev_samp(glucose) AS sd FROM {table} GROUP BY 1)"
+    ctes = f"{_POINTS[approach](table)}, {_EXCURSIONS}, dev AS (SELECT series_id, stddev_samp(glucose) AS sd FROM {table} GROUP BY 1)"
     mean = lambda c: even(f"coalesce(avg(CASE WHEN {c} THEN magnitude END), 0e0)")
     body = f"SELECT dev.series_id, any_value({even('dev.sd')}) AS sd_used, any_value({even('dev.sd')}) AS threshold, {mean('end_value > start_value')} AS mage_plus, {mean('end_value <= start_value')} AS mage_minus, {mean('magnitude IS NOT NULL')} AS mage_avg, count(magnitude) AS num_excursions FROM dev LEFT JOIN exc ON exc.series_id = dev.series_id GROUP BY 1"
     return final(table, body, ["sd_used", "threshold", "mage_plus", "mage_minus", "mage_avg"], ["num_excursions"], ctes)
