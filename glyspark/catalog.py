@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import oracles as O
 from .functions import expr as X
 from .operators import basic as B, excursions as E, periods as PE, pregnancy as PG, profiles as P, quality as Q, risk as R, sd as S, stability as ST, summary as SU, temporal as T, variance as V
 from .sources import ingest as I, sink
+from .sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 PREGNANCY = PG.Pregnancy.of("2024-01-29", 28)
@@ -78,6 +79,88 @@ def _merged(rule: str) -> Query:
     return lambda spark, sf_dir: sink.merged(*_halves(spark, sf_dir), rule)
 
 
+def _lines(spark: SparkSession, sf_dir: str, head: list[str], line) -> str:
+    """The path of a text file of the five-minute series: head lines, then a line per slot."""
+    rows = grid(5)(spark, sf_dir).select(F.unix_micros(F.col("time").cast("timestamp")).alias("at"), line.alias("value"))
+    first = spark.createDataFrame([(k - len(head) - (1 << 60), x) for k, x in enumerate(head)], "at long, value string")
+    path = scratch(spark, "lines")
+    # One file, as a device exports it.
+    first.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+def _text(pattern: str) -> Column:
+    return F.date_format("time", pattern)
+
+
+def _csv(sep: str, header: int = 0) -> Query:
+    """Written with that separator and preamble; the reader finds the separator itself."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        head = [f"export {k}" for k in range(header)] + [f"device{sep}time{sep}glucose"]
+        path = _lines(spark, sf_dir, head, F.concat_ws(sep, F.lit("x"), _text("yyyy-MM-dd HH:mm:ss"), F.col("glucose").cast("string")))
+        return I.read_cgm(spark, path, header=header)
+
+    return build
+
+
+def _device(device: str) -> Query:
+    """A device's export by its preset; every seventh slot is a row without a reading."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        preset = I.PRESETS[device]
+        time = _text("dd-MM-yyyy HH:mm" if preset["dayfirst"] else "yyyy-MM-dd'T'HH:mm:ss")
+        reading = F.when(F.col("glucose") % 7 != 0, F.col("glucose").cast("string")).otherwise("")
+        head = [f"preamble {k}" for k in range(preset["header"])] + [f"Dispositivo,{preset['date_col']},{preset['glucose_col']}"]
+        return I.read_device(spark, device, _lines(spark, sf_dir, head, F.concat_ws(",", F.lit("x"), time, reading)))
+
+    return build
+
+
+def _parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark, 'table')}.parquet"
+    raw(spark, sf_dir).withColumnRenamed("series_id", "patient").write.parquet(path)
+    return I.read_cgm(spark, path, series_col="patient")
+
+
+def _from_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.read_cgm(spark, grid(30)(spark, sf_dir).select("time", "glucose"))
+
+
+def _date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of the range count, in two of the accepted formats."""
+    return I.clean(grid(5)(spark, sf_dir), start="2024-01-09", end="11/01/2024 12:30")
+
+
+def _mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as texts in a format by event, with a 12-hour clock among them, and every eleventh not understood."""
+    kinds = ["yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd hh:mm:ss a"]
+    text = F.coalesce(*(F.when(F.col("event_id") % 5 == k, F.date_format("ts", f)) for k, f in enumerate(kinds)))
+    e = events(spark, sf_dir).select("user_id", F.when(F.col("event_id") % 11 == 0, "soon").otherwise(text).alias("time"), (F.col("event_id") % 300).alias("glucose"), "event_id")
+    return I.clean(e, series_col="user_id", order_col="event_id")
+
+
+def _unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    text = F.when(F.col("event_id") % 11 == 0, "soon").when(F.col("event_id") % 13 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    return I.unparsed(e.select(text.alias("time"), F.when(F.col("event_id") % 17 == 0, "Low").otherwise(F.col("value").cast("string")).alias("glucose")))
+
+
+def _narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of users divisible by three hold values beyond 16 bits and so keep their fractions."""
+    e = events(spark, sf_dir)
+    g = F.when(F.col("user_id") % 3 == 0, (F.col("event_id") % 100_000) + F.lit(32_700.25)).otherwise((F.col("event_id") % 400) + F.lit(0.75))
+    return I.clean(e.select("user_id", F.col("ts").alias("time"), g.alias("glucose"), "event_id"), series_col="user_id", order_col="event_id")
+
+
+def _sunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings by the minute written and read again: of those with equal times the first event stays."""
+    path = scratch(spark, "sink")
+    e = events(spark, sf_dir).select((F.col("user_id") % 5).cast("string").alias("series_id"), F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("time"), F.floor(40 + F.col("value")).cast("int").alias("glucose"), "event_id")
+    sink.write_cgm(e, path, order_col="event_id")
+    return spark.read.parquet(path).select(F.col("series_id").cast("string").alias("series_id"), "time", F.col("glucose").cast("int").alias("glucose"))
+
+
 def _ptp(x):
     return float(x.max() - x.min())
 
@@ -115,9 +198,25 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     out["period_metrics_day"] = _on("m5", PE.period_metrics, ["mean", "cv", "lbgi"], "D", 65.0), O.period_metrics("m5", ["mean", "cv", "lbgi"], "D", 65.0)
     out["period_function"] = _on("m5", PE.period_function, [_ptp], "W", 60.0), O.final("m5", "SELECT m.series_id, m.period, m.x AS _ptp FROM (SELECT series_id, " + O.period("W") + " AS period, CAST(max(glucose) - min(glucose) AS DOUBLE) AS x FROM m5 GROUP BY 1, 2) m JOIN pf USING (series_id, period) WHERE completeness >= 60", ["_ptp"], ["period"], O.periods_cte("m5", "W"))
     out["segment_filter"] = _on("m5", lambda df: Q.segment(df, "22:30", 3.5).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("glucose").alias("mean"))), O.final("m5", "SELECT series_id, count(*) AS n, avg(glucose) AS mean FROM m5 WHERE hour(time) * 60 + minute(time) >= 1350 OR hour(time) * 60 + minute(time) < 120 GROUP BY 1", ["mean"], ["n"])
-    out["epoch_parse"] = _parsed, "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CASE WHEN user_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS time, CAST(floor(40 + value) AS INTEGER) AS glucose FROM events WHERE value <= 400), a AS (SELECT *, abs(glucose - avg(glucose) OVER (PARTITION BY series_id, time)) AS off FROM p) SELECT series_id, time, CAST(glucose AS BIGINT) AS glucose FROM a QUALIFY row_number() OVER (PARTITION BY series_id, time ORDER BY off, glucose) = 1"
+    out["epoch_parse"] = _parsed, "WITH p AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CASE WHEN user_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS time, CAST(floor(40 + value) AS INTEGER) AS glucose FROM events WHERE value <= 400), a AS (SELECT *, abs(glucose - avg(glucose) OVER (PARTITION BY series_id, time)) AS off FROM p) SELECT series_id, time, CAST(glucose AS DOUBLE) AS glucose FROM a QUALIFY row_number() OVER (PARTITION BY series_id, time ORDER BY off, glucose) = 1"
     out["date_parse"] = _dates, "SELECT event_id, date_trunc('minute', ts) AS time FROM events"
     out["dedup_closest_to_mean"] = _deduplicated, "WITH p AS (SELECT 'all' AS series_id, date_trunc('minute', ts) AS time, CAST(floor(40 + value) AS INTEGER) AS glucose FROM events), a AS (SELECT *, abs(glucose - avg(glucose) OVER (PARTITION BY time)) AS off FROM p) SELECT series_id, time, glucose FROM a QUALIFY row_number() OVER (PARTITION BY time ORDER BY off, glucose) = 1"
+    load = f"WITH {O.TABLES['m5']} SELECT '0' AS series_id, time, CAST(glucose AS DOUBLE) AS glucose FROM m5"
+    for name, sep, header in (("load_csv_comma", ",", 0), ("load_csv_semicolon", ";", 0), ("load_csv_preamble", ";", 2)):
+        out[name] = _csv(sep, header), load
+    for device in I.PRESETS:
+        out[f"load_{device}"] = _device(device), f"{load} WHERE glucose % 7 <> 0"
+
+    def closest(rows: str, ties: str) -> str:
+        return f"WITH p AS ({rows}), a AS (SELECT *, abs(glucose - avg(glucose) OVER (PARTITION BY series_id, time)) AS off FROM p) SELECT series_id, time, CAST(glucose AS DOUBLE) AS glucose FROM a QUALIFY row_number() OVER (PARTITION BY series_id, time ORDER BY off, {ties}) = 1"
+
+    out["load_parquet"] = _parquet, closest("SELECT CAST(user_id AS VARCHAR) AS series_id, ts AS time, floor(40 + value) AS glucose FROM events", "glucose")
+    out["load_memory"] = _from_memory, f"WITH {O.TABLES['m30']} SELECT '0' AS series_id, time, CAST(glucose AS DOUBLE) AS glucose FROM m30"
+    out["date_range"] = _date_range, f"{load} WHERE time BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-11 12:30:00'"
+    out["dates_mixed"] = _mixed_dates, closest("SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('second', ts) AS time, event_id % 300 AS glucose, event_id FROM events WHERE event_id % 11 <> 0", "event_id")
+    out["unparsed_rows"] = _unparsed, "SELECT count(*) AS rows, CAST(sum(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_times, CAST(sum(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_values FROM events"
+    out["narrow_whole_series"] = _narrowed, closest("SELECT *, CASE WHEN max(g) OVER (PARTITION BY series_id) > 32767 THEN g ELSE trunc(g) END AS glucose FROM (SELECT CAST(user_id AS VARCHAR) AS series_id, ts AS time, event_id, CASE WHEN user_id % 3 = 0 THEN event_id % 100000 + 32700.25e0 ELSE event_id % 400 + 0.75e0 END AS g FROM events)", "event_id")
+    out["sink_keep_first"] = _sunk, "SELECT CAST(user_id % 5 AS VARCHAR) AS series_id, date_trunc('minute', ts) AS time, CAST(floor(40 + value) AS INTEGER) AS glucose FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 5, date_trunc('minute', ts) ORDER BY event_id, value) = 1"
     halves = f"WITH {O.TABLES['m30']}, a AS (SELECT * FROM m30 WHERE time < TIMESTAMP '2024-01-20'), b AS (SELECT series_id, time, glucose + 1 AS glucose FROM m30 WHERE time >= TIMESTAMP '2024-01-10') "
     out["merge_keep_new"] = _merged("keep_new"), halves + "SELECT * FROM a WHERE time NOT IN (SELECT time FROM b) UNION ALL SELECT * FROM b"
     out["merge_keep_old"] = _merged("keep_old"), halves + "SELECT * FROM a UNION ALL SELECT * FROM b WHERE time NOT IN (SELECT time FROM a)"
@@ -178,7 +277,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     out["gri_pregnancy"] = _on("raw", R.gri, pregnancy=True), O.gri("raw", True)
     out["gri_grid"] = _on("raw", P.gri_grid), O.gri_grid("raw")
     out["adrr"] = _on("raw", R.adrr), O.adrr("raw")
-    out["all_metrics"] = _on("m5", SU.all_metrics), None
+    out["all_metrics"] = _on("m5", SU.all_metrics), O.all_metrics("m5")
 
     tri = f"tri AS (SELECT * FROM (SELECT *, {O.trimester(*BOUNDS)} AS trimester FROM m30 WHERE time BETWEEN TIMESTAMP '{BOUNDS[0]}' AND TIMESTAMP '{BOUNDS[3]}'))"
     inner_part = "within AS (SELECT * FROM tri WHERE trimester IS NOT NULL)"
@@ -202,7 +301,8 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     span = "CASE trimester WHEN 'tercer_trimestre' THEN date_diff('day', TIMESTAMP '{}', TIMESTAMP '{}') ELSE 91 END".format(*BOUNDS[2:])
     info = f"SELECT series_id, trimester, count(*) AS num_datos, min(time) AS fecha_inicio, max(time) AS fecha_fin, any_value(interval) AS intervalo_tipico, CAST(sum(CASE WHEN {cut} THEN 1 ELSE 0 END) AS BIGINT) AS num_desconexiones, sum(CASE WHEN {cut} THEN gap ELSE 0 END) / 3.6e9 AS tiempo_total_desconexion, any_value({O.EXPECTED}) AS datos_teoricos, count(*) * 1e2 / any_value({O.EXPECTED}) AS porcentaje_disponibilidad FROM gaps JOIN typ USING (series_id, trimester) GROUP BY 1, 2"
     out["gestational_info"] = _on("m30", PG.trimester_info, PREGNANCY), O.final("m30", f"SELECT *, num_datos * 1e2 / datos_esperados AS porcentaje_datos FROM (SELECT *, CAST(floor(6e1 / intervalo_tipico * 24 * {span}) AS BIGINT) AS datos_esperados FROM ({info}))", ["intervalo_tipico", "tiempo_total_desconexion", "porcentaje_disponibilidad", "porcentaje_datos"], ["trimester", "num_datos", "fecha_inicio", "fecha_fin", "num_desconexiones", "datos_teoricos", "datos_esperados"], f"{tri}, {inner_part}, {O.gaps('within', 'series_id, trimester')}, {O.typical('series_id, trimester')}")
-    out["gestational_all_metrics"] = _on("m30", PG.all_metrics, PREGNANCY), None
+    inside = [f"time BETWEEN TIMESTAMP '{BOUNDS[0]}' AND TIMESTAMP '{BOUNDS[3]}'"] + [f"{O.trimester(*BOUNDS)} = '{t}' AND time BETWEEN TIMESTAMP '{BOUNDS[0]}' AND TIMESTAMP '{BOUNDS[3]}'" for t in ("primer_trimestre", "segundo_trimestre", "tercer_trimestre")]
+    out["gestational_all_metrics"] = _on("m30", PG.all_metrics, PREGNANCY), O.parts_of("m30", dict(zip(("embarazo_completo", "primer_trimestre", "segundo_trimestre", "tercer_trimestre"), inside, strict=True)), "trimester", O.all_metrics)
 
     out["agp"] = _on("m5", P.agp), O.agp("m5")
     out["agp_even_window"] = _on("m5", P.agp, 6), O.agp("m5", 6)

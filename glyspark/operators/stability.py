@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import expr as X
 from ..schema import BY
+from ..shipping import ship
 from . import sd as S
 
+#: Days of a series that are multiplied with as many others at once.
+DAYS = 256
+
 
 def _signed_square(r):
     return F.signum(r) * r * r
@@ -30,13 +36,47 @@ def ratios(df: DataFrame, by=BY) -> DataFrame:
 def day_correlation(df: DataFrame, by=BY) -> DataFrame:
     """Mean signed squared correlation over all pairs of days on their common minutes (undefined pairs are skipped).
 
-    The result is defined by pairs of days; their number is bounded by the days of a series, not by readings.
+    A day becomes one row, its cells as a list. Days are cut into blocks of DAYS, and each pair of blocks is one group
+    that multiplies its days as matrices: shuffled are days times blocks, not the pairs of all their minutes.
     """
-    c = S.cell_table(df, by)
-    a, b = (c.select(*by, "minute", F.col("day").alias(f"day_{k}"), F.col("mean").alias(k)) for k in "ab")
-    met = a.join(b, [*by, "minute"]).filter("day_a < day_b")
-    pairs = met.groupBy(*by, "day_a", "day_b").agg(X.pearson(F.col("a"), F.col("b")).alias("r"))
-    return pairs.groupBy(*by).agg(F.avg(_signed_square(F.col("r"))).alias("avg_correlation_between_days"), F.count(F.lit(1)).alias("pairs"))
+    keys = list(by)
+    ship(df.sparkSession)
+    cells = S.cell_table(df, by).groupBy(*by, "day").agg(F.collect_list(F.struct(F.col("minute").cast("int").alias("minute"), F.col("mean").cast("double").alias("mean"))).alias("cells"))
+    block = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("day")) - 1) / DAYS).cast("int")
+    days = cells.withColumn("block", block)
+    days = days.withColumn("last", F.max("block").over(Window.partitionBy(*by)))
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    met = days.withColumn("other", other).select(*by, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cells")
+
+    def correlate(table: pa.Table) -> pa.Table:
+        own = np.array(table.column("block").to_pylist())
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        lists = table.column("cells").combine_chunks()
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        day = np.repeat(np.arange(len(own)), np.diff(offsets))
+        minute, mean = flat.field("minute").to_numpy(), flat.field("mean").to_numpy()
+        x, has = np.zeros((len(own), 24 * 60)), np.zeros((len(own), 24 * 60))
+        x[day, minute], has[day, minute] = mean, 1.0
+        # Centred, so that sums of squares lose no digits.
+        x -= has * (x.sum(axis=1) / np.maximum(has.sum(axis=1), 1))[:, None]
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        n = has[a] @ has[b].T
+        sa, sb = x[a] @ has[b].T, has[a] @ x[b].T
+        aa, bb = (x[a] ** 2) @ has[b].T, has[a] @ (x[b] ** 2).T
+        va, vb = n * aa - sa**2, n * bb - sb**2
+        # A side that is constant on the common minutes has no correlation.
+        ok = (va > 1e-9 * n * aa) & (vb > 1e-9 * n * bb)
+        pairs = n > 0
+        if lo == hi:
+            ok, pairs = np.triu(ok, 1), np.triu(pairs, 1)
+        r = np.where(ok, (n * (x[a] @ x[b].T) - sa * sb) / np.sqrt(np.where(ok, va * vb, 1.0)), 0.0)
+        out = {k: [table.column(k)[0].as_py()] for k in keys} | {"total": [float((np.sign(r) * r * r)[ok].sum())], "defined": [int(ok.sum())], "pairs": [int(pairs.sum())]}
+        return pa.table(out, schema=pa.schema([*(table.schema.field(k) for k in keys), ("total", pa.float64()), ("defined", pa.int64()), ("pairs", pa.int64())]))
+
+    schema = df.select(*by).schema.add("total", "double").add("defined", "long").add("pairs", "long")
+    got = met.groupBy(*by, "lo", "hi").applyInArrow(correlate, schema).groupBy(*by).agg(F.sum("total").alias("total"), F.sum("defined").alias("defined"), F.sum("pairs").alias("pairs"))
+    # A series without a pair of days that share a minute has no row.
+    return got.filter("pairs > 0").select(*by, F.try_divide("total", "defined").alias("avg_correlation_between_days"), "pairs")
 
 
 def _with_profile(df: DataFrame, by, leave_out: bool = False) -> DataFrame:

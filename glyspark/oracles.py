@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 #: Places that both sides round doubles to.
 DIGITS = 6
 
@@ -413,3 +415,44 @@ def mage_baghurst(table: str, approach: int) -> str:
     mean = lambda c: even(f"coalesce(avg(CASE WHEN {c} THEN magnitude END), 0e0)")
     body = f"SELECT dev.series_id, any_value({even('dev.sd')}) AS sd_used, any_value({even('dev.sd')}) AS threshold, {mean('end_value > start_value')} AS mage_plus, {mean('end_value <= start_value')} AS mage_minus, {mean('magnitude IS NOT NULL')} AS mage_avg, count(magnitude) AS num_excursions FROM dev LEFT JOIN exc ON exc.series_id = dev.series_id GROUP BY 1"
     return final(table, body, ["sd_used", "threshold", "mage_plus", "mage_minus", "mage_avg"], ["num_excursions"], ctes)
+
+
+#: The wide row's names of the statistics, deviations and risk columns.
+WIDE_BASIC = {"mean": "media", "median": "mediana", "sd": "desviacion_estandar", "cv": "cv", "gmi": "gmi", "TIR": "tir", "TIR_tight": "tir_tight", "TIR_pregnancy": "tir_pregnancy", "TAR180": "tar180", "TAR250": "tar250", "TAR140": "tar140", "TBR70": "tbr70", "TBR63": "tbr63", "TBR55": "tbr55", "skewness": "asimetria", "kurtosis": "curtosis"}
+WIDE_SD = {"SDT": "sdt", "SDw": "sdw", "SDhhmm": "sd_timepoints", "noche": "sd_noche", "dia": "sd_dia", "tarde": "sd_tarde", "SDws_1h": "sd_1h", "SDws_6h": "sd_6h", "SDws_24h": "sd_24h", "SDdm": "sd_daily_mean", "SDbhhmm": "sd_same_timepoint", "SDbhhmm_dm": "sd_same_timepoint_adj", "SDI": "sd_interaction"}
+
+
+def all_metrics(table: str) -> str:
+    """The wide row of a table that holds the one series 'all'."""
+
+    def named(query: str, names: dict[str, str]) -> str:
+        return f"SELECT series_id, {', '.join(f'{quoted} AS {new}' for quoted, new in ((chr(34) + k + chr(34), v) for k, v in names.items()))} FROM ({query})"
+
+    ctes, body = with_data(table, list(WIDE_BASIC))
+    basic = named(final(table, body, list(WIDE_BASIC), ["data_percent"], ctes), {"data_percent": "completitud"} | WIDE_BASIC)
+    hours = (1, 2, 4, 6, 24)
+    c = final(table, f"SELECT 'all' AS series_id, {', '.join(f'(SELECT stddev_samp(d) FROM met WHERE hours = {h}) AS CONGA{h}' for h in hours)}", [f"CONGA{h}" for h in hours], [], conga_ctes(table, str(list(hours))))
+    mage_ = named(mage_baghurst(table, 1), {"sd_used": "mage_sd", "threshold": "mage_threshold", "mage_plus": "mage_plus", "mage_minus": "mage_minus", "mage_avg": "mage_avg", "num_excursions": "mage_excursions"})
+    risk = {m: METRICS[m] for m in ("lbgi", "hbgi", "j_index")} | {"m_value": even("avg(pow(abs(1e1 * log10(glucose / 9e1)), 3))"), "grade": f"avg({GRADE})"}
+    r = final(table, f"SELECT series_id, {', '.join(f'{x} AS {m}' for m, x in risk.items())} FROM {table} GROUP BY 1", list(risk))
+    parts = [
+        basic,
+        named(all_sd(table, False), WIDE_SD),
+        c,
+        mage_,
+        named(modd(table, 1), {"value": "modd", "std": "modd_sd"}),
+        r,
+        named(adrr(table), {"adrr": "adrr"}),
+        named(gri(table), {"GRI": "gri", "hyper_component": "gri_high", "hypo_component": "gri_low"}),
+        named(gri(table, True), {"GRI": "gri_pregnancy", "hyper_component": "gri_pregnancy_high", "hypo_component": "gri_pregnancy_low"}),
+    ]
+    return joined(*parts)
+
+
+def parts_of(table: str, parts: dict[str, str], column: str, query: Callable[[str], str]) -> str:
+    """A query of one row per series on each part (name: condition) of a table, with the part's name."""
+    out = []
+    for k, (name, where) in enumerate(parts.items()):
+        TABLES[f"{table}_{k}"] = f"{TABLES[table]}, {table}_{k} AS (SELECT * FROM {table} WHERE {where})"
+        out.append(f"SELECT '{name}' AS {column}, * FROM ({query(f'{table}_{k}')})")
+    return " UNION ALL ".join(out)

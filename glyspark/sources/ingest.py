@@ -15,8 +15,15 @@ PRESETS = {
     "dexcom": {"date_col": "Marca temporal (AAAA-MM-DDThh:mm:ss)", "glucose_col": "Nivel de glucosa (mg/dL)", "header": 0, "dayfirst": False},
     "libreview": {"date_col": "Sello de tiempo del dispositivo", "glucose_col": "Historial de glucosa mg/dL", "header": 2, "dayfirst": True},
 }
+#: 12-hour clock times, after a month-first, day-first or ISO date.
+CLOCK = ("hh:mm:ss a", "hh:mm a", "h:mm:ss a", "h:mm a")
 MONTH_FIRST = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM-dd-yyyy HH:mm:ss", "MM-dd-yyyy HH:mm", "MM/dd/yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+_HALF_DAYS = {d: tuple(f"{d} {t}" for t in CLOCK) for d in ("MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy-MM-dd")}
 DAY_FIRST = MONTH_FIRST[:5] + MONTH_FIRST[10:15] + MONTH_FIRST[5:10] + MONTH_FIRST[15:]
+for _d in ("MM/dd/yyyy", "MM-dd-yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd"):
+    MONTH_FIRST += _HALF_DAYS[_d]
+for _d in ("dd/MM/yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "MM-dd-yyyy", "yyyy-MM-dd"):
+    DAY_FIRST += _HALF_DAYS[_d]
 SMALL = (-32_768, 32_767)
 
 
@@ -53,15 +60,17 @@ def to_time(column: str, kind, dayfirst: bool = False) -> Column:
         c = c.cast("double")
         return F.timestamp_micros((F.when(c > 1e10, c * 1e3).otherwise(c * 1e6)).cast("long")).cast("timestamp_ntz")
     if isinstance(kind, StringType):
-        return X.parse_date(F.trim(c), DAY_FIRST if dayfirst else MONTH_FIRST)
+        return X.parse_date(F.upper(F.trim(c)), DAY_FIRST if dayfirst else MONTH_FIRST)
     raise ValueError(f"column {column} holds {kind.simpleString()}, not times")
 
 
 def clean(df: DataFrame, date_col: str = TIME, glucose_col: str = GLUCOSE, series_col: str | None = None, series: str = "0", start=None, end=None, dayfirst: bool = False, unit: str = "mg/dL", order_col: str | None = None, drop_nonpositive: bool = False) -> DataFrame:
-    """series_id, time, glucose: coerced, filtered to [start, end], truncated to whole numbers where they fit
-    16 bits, and with one row per time, the one closest to the mean of that time's rows.
+    """series_id, time, glucose: coerced, filtered to [start, end], with one row per time, the one closest to the mean
+    of that time's rows.
 
-    Ties go to the first by order_col, else to the smaller value.
+    A series whose values all fit 16 bits is truncated to whole numbers; another keeps its values as they are. Rows
+    whose time or value is not understood go (unparsed() counts them). Ties go to the first by order_col, else to the
+    smaller value.
     """
     require_columns(df, date_col, glucose_col, *([series_col] if series_col else []))
     g = F.col(f"`{glucose_col}`")
@@ -79,7 +88,21 @@ def clean(df: DataFrame, date_col: str = TIME, glucose_col: str = GLUCOSE, serie
         out = out.filter(F.col(TIME) <= F.lit(as_time(end)).cast("timestamp_ntz"))
     if drop_nonpositive:
         out = out.filter("g > 0")
-    return deduplicate(out.withColumn(GLUCOSE, F.when(F.col("g").between(*SMALL), F.col("g").cast("int")).otherwise(F.col("g").cast("long")))).select(SERIES, TIME, GLUCOSE)
+    # One row per series; usually broadcast.
+    wide = out.groupBy(SERIES).agg((F.min(F.col("g").between(*SMALL))).alias("small"))
+    out = out.join(wide, SERIES).withColumn(GLUCOSE, F.when(F.col("small"), F.col("g").cast("int").cast("double")).otherwise(F.col("g"))).drop("small")
+    return deduplicate(out).select(SERIES, TIME, GLUCOSE)
+
+
+def unparsed(df: DataFrame, date_col: str = TIME, glucose_col: str = GLUCOSE, dayfirst: bool = False) -> DataFrame:
+    """One row: rows, and those whose time or value is given but not understood by clean()."""
+    time = to_time(date_col, df.schema[date_col].dataType, dayfirst)
+    g = F.expr(f"try_cast(trim(`{glucose_col}`) AS double)") if isinstance(df.schema[glucose_col].dataType, StringType) else F.col(f"`{glucose_col}`").cast("double")
+
+    def lost(column: str, parsed: Column) -> Column:
+        return F.coalesce(F.sum((F.col(f"`{column}`").isNotNull() & parsed.isNull()).cast("long")), F.lit(0))
+
+    return df.agg(F.count(F.lit(1)).alias("rows"), lost(date_col, time).alias("bad_times"), lost(glucose_col, g).alias("bad_values"))
 
 
 def deduplicate(df: DataFrame, by=BY) -> DataFrame:

@@ -11,8 +11,9 @@ from ..schema import BY, GLUCOSE, SERIES, TIME
 RULES = ("keep_new", "keep_old", "keep_both")
 
 
-def first_per_time(df: DataFrame, by=BY) -> DataFrame:
-    w = Window.partitionBy(*by, TIME).orderBy(GLUCOSE)
+def first_per_time(df: DataFrame, by=BY, order_col: str | None = None) -> DataFrame:
+    """One row per series and time: the first by order_col, else the one with the smallest value."""
+    w = Window.partitionBy(*by, TIME).orderBy(*([order_col] if order_col else []), GLUCOSE)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -23,9 +24,13 @@ def narrowed(df: DataFrame) -> DataFrame:
     return df.withColumn(GLUCOSE, F.col(GLUCOSE).cast("smallint" if small else "int"))
 
 
-def write_cgm(df: DataFrame, path: str, compression: str = "snappy", sort: bool = True, mode: str = "overwrite") -> None:
-    """One row per series and time, in time order inside each file. Files lie in folders by series."""
-    out = narrowed(first_per_time(df)).repartition(SERIES)
+def write_cgm(df: DataFrame, path: str, compression: str = "snappy", sort: bool = True, mode: str = "overwrite", order_col: str | None = None) -> None:
+    """One row per series and time, in time order inside each file. Files lie in folders by series.
+
+    Rows are dealt by ranges of series and time, so that a long series is written by several tasks. Of rows with equal
+    times the first by order_col (say, the place in the source) is kept, else the smallest value.
+    """
+    out = narrowed(first_per_time(df, order_col=order_col).select(SERIES, TIME, GLUCOSE)).repartitionByRange(SERIES, TIME)
     if sort:
         out = out.sortWithinPartitions(SERIES, TIME)
     out.write.mode(mode).option("compression", compression).partitionBy(SERIES).parquet(path)
@@ -61,7 +66,7 @@ def append_cgm(df: DataFrame, path: str, compression: str = "snappy", rule: str
     new = df.select(SERIES, TIME, F.col(GLUCOSE).cast(schema[GLUCOSE].dataType))
     kept = old.join(new.select(SERIES, TIME).distinct(), [SERIES, TIME], "left_anti").count() if rule == "keep_new" else old.count()
     aside = f"{path.rstrip('/')}._{uuid.uuid4().hex}"
-    merged(old.select(SERIES, TIME, GLUCOSE), new, rule).repartition(SERIES).sortWithinPartitions(SERIES, TIME).write.option("compression", compression).partitionBy(SERIES).parquet(aside)
+    merged(old.select(SERIES, TIME, GLUCOSE), new, rule).repartitionByRange(SERIES, TIME).sortWithinPartitions(SERIES, TIME).write.option("compression", compression).partitionBy(SERIES).parquet(aside)
     staged = spark.read.schema(schema).parquet(aside)
     added = staged.count() - kept
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(SERIES).parquet(path)

@@ -73,7 +73,16 @@ def test_epoch_seconds_and_millis(spark):
 
 def test_truncation_and_wide_values(spark):
     rows = [(f"2024-01-01 10:0{k}:00", v) for k, v in enumerate((5.9, -5.9, 40_000.0, float("nan")))]
-    assert [r.glucose for r in clean(spark, rows, "time string, glucose double").orderBy("time").collect()] == [5, -5, 40_000]
+    assert [r.glucose for r in clean(spark, rows, "time string, glucose double").orderBy("time").collect()] == [5.9, -5.9, 40_000]
+    assert [r.glucose for r in clean(spark, rows[:2], "time string, glucose double").orderBy("time").collect()] == [5, -5]
+
+
+def test_twelve_hour_clock_and_unparsed_rows(spark):
+    rows = [("01/02/2024 03:05 pm", "1"), ("2024-01-02 12:10:00 AM", "2"), ("13/02/2024 1:00 PM", "3"), ("soon", "4"), ("2024-01-02", "x"), (None, "5")]
+    got = {r.glucose: r.time for r in clean(spark, rows).collect()}
+    assert got == {1: dt.datetime(2024, 1, 2, 15, 5), 2: dt.datetime(2024, 1, 2, 0, 10), 3: dt.datetime(2024, 2, 13, 13)}
+    lost = one(I.unparsed(spark.createDataFrame(rows, "time string, glucose string")))
+    assert lost == {"rows": 6, "bad_times": 1, "bad_values": 1}
 
 
 def test_units(spark):

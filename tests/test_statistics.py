@@ -175,3 +175,14 @@ def test_periods(spark):
     rows = PE.period_function(df, [spread, broken], "D", 70).collect()
     assert len(rows) == 2 and all(r.spread > 0 and r.broken is None for r in rows)
     assert PE.period_apply(df, R.adrr, "D", 70).count() == 2
+
+
+def test_day_correlation_over_several_blocks(spark, monkeypatch):
+    from glyspark.operators import stability as ST
+
+    df = series(spark, wave(9 * 288 + 100, 3)).unionByName(series(spark, [100] * 700, series_id="flat")).unionByName(series(spark, wave(150), series_id="short"))
+    whole = {r.series_id: r for r in ST.day_correlation(df).collect()}
+    monkeypatch.setattr(ST, "DAYS", 2)
+    parts = {r.series_id: r for r in ST.day_correlation(df).collect()}
+    assert set(whole) == set(parts) == {"a", "flat"} and whole["a"].pairs == parts["a"].pairs == 45
+    assert abs(whole["a"][1] - parts["a"][1]) < 1e-12 and whole["flat"][1] is parts["flat"][1] is None
