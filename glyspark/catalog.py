@@ -256,6 +256,7 @@ def _entries() -> dict[str, tuple[Query, str | None]]:
     for k in (1, 2, 3):
         out[f"mage_baghurst_{k}"] = _on("m5", E.mage_baghurst, 1, k), O.mage_baghurst("m5", k)
         out[f"excursions_{k}"] = _on("m5", E.excursions, 1, k), O.excursions("m5", k)
+    out["excursion_chart"] = _on("m5", P.excursion_chart), O.excursion_chart("m5", 1)
     for k in (1, 2):
         out[f"modd_{k}"] = _on("m5", T.modd, k), O.modd("m5", k)
     out["conga_4"] = _on("m30", T.conga, 4), O.conga("m30", "[4]")

@@ -410,6 +410,11 @@ def excursions(table: str, approach: int) -> str:
     return final(table, body, ["start_value", "end_value", "magnitude"], ["start_time", "end_time", "direction"], ctes)
 
 
+def excursion_chart(table: str, approach: int) -> str:
+    body = f"SELECT series_id, time, glucose, pts.time IS NOT NULL AS turning, {DAY} AS day FROM {table} LEFT JOIN pts USING (series_id, time)"
+    return final(table, body, ["glucose"], ["time", "turning", "day"], _POINTS[approach](table))
+
+
 def mage_baghurst(table: str, approach: int) -> str:
     ctes = f"{_POINTS[approach](table)}, {_EXCURSIONS}, dev AS (SELECT series_id, stddev_samp(glucose) AS sd FROM {table} GROUP BY 1)"
     mean = lambda c: even(f"coalesce(avg(CASE WHEN {c} THEN magnitude END), 0e0)")
