@@ -20,7 +20,7 @@ Steps:
 6. components of all verified links.
 
 No group is expanded into all its pairs and no posting is capped. Shingles with very many rows are dealt over
-SALTS parts in every join. What is broadcast has a bounded size: a bit map, and at most MANY such shingles.
+parts in every join. What is broadcast has a bounded size: a bit map, and at most MANY such shingles.
 
 A null or empty text, or one without words, has no shingles, size 0, and links with nothing. Rows that
 repeat a doc_id with other text are sets of their own with that id: each links for itself, and the id's component is
@@ -31,10 +31,11 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ._io import Workspace, byte_chunks, text_buffers
 from ._words import mix, shingle_sets
@@ -49,6 +50,8 @@ GRAIN, NEAR = 1 << 16, round(0.27 * (1 << 16))
 LEAST_BITS, MOST_BITS, LOAD = 1 << 20, 1 << 28, 32
 #: A shingle of this many rows, and of one in MANY of all rows, is dealt over SALTS parts.
 HOT, MANY, SALTS = 512, 20_000, 32
+#: In the self-join such a shingle has SIDE * SIDE parts: each row goes to SIDE of them on either side.
+SIDE = 6
 #: Longest extension of a prefix, and the cost of verifying a candidate in postings read.
 MOST, VERIFY = 8, 4
 #: Share of a document's prefix that its head must hold to be verified first.
@@ -201,9 +204,9 @@ def _hot(counts: DataFrame) -> DataFrame:
     return F.broadcast(counts.filter(F.col("f") > max(HOT, total // MANY)).select("token", F.lit(True).alias("hot")))
 
 
-def _dealt(rows: DataFrame, hot: DataFrame, part: str = "rep") -> DataFrame:
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """rows with the part of their token that they fall into."""
-    return rows.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(part), F.lit(SALTS))).otherwise(0)).drop("hot")
+    return rows.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0)).drop("hot")
 
 
 def _copied(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -281,7 +284,15 @@ def _multi_match(rows: DataFrame, apart: bool) -> DataFrame:
     """Pairs (a, b) of nodes with enough shared prefix shingles; apart: only those of two components."""
     carried = ("rep", "n", "l", "pos") + ("component",) * apart
     hot = _hot(rows.groupBy("token").agg(F.count(F.lit(1)).alias("f")))
-    a, b = (side.select("token", "salt", *(F.col(c).alias(f"{c}_{s}") for c in carried)) for s, side in (("a", _dealt(rows, hot)), ("b", _copied(rows, hot))))
+    marked = rows.join(hot, "token", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(SIDE)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
+
+    def side(name: str, part: Callable[[Column, Column], Column]) -> DataFrame:
+        # A row of a hot token meets each of the other side once, in the part of both their places.
+        parts = F.when(F.col("hot"), F.transform(every, lambda other: part(F.col("own"), other))).otherwise(F.array(F.lit(0).cast("long")))
+        return marked.select("token", *(F.col(c).alias(f"{c}_{name}") for c in carried), F.explode(parts).alias("salt"))
+
+    a, b = side("a", lambda own, other: own * SIDE + other), side("b", lambda own, other: other * SIDE + own)
     l = F.least("l_a", "l_b")
     # The overlap that these two sizes need; a prefix leaves no more places than that allows to miss, and l.
     both = F.col("n_a") + F.col("n_b")
