@@ -8,10 +8,13 @@ such words is covered whole.
 
 A text is looked at only for templates of which it holds enough distinct words for that coverage (an
 exact bound). Windows lie around the occurrences of several of the template's rarest words in that text, wherever
-they are, so repeated notices and very long texts are found whole.
+they are: one of the template's own length where its words stand in place, so that notices one right after the other are
+told apart, and one that leaves room for a quarter of its words and four more on either side, where words were left out or
+put in. A notice stretched beyond that is none. Very long texts are searched whole.
 
-Null text counts as empty (no match). Repeated rows and null ids keep their rows. Ties go to the longer, then
-the earlier match, then the template's name. An empty table gives no rows. Other columns are ignored.
+Null text counts as empty (no match). Repeated rows and null ids keep their rows. Of matches that overlap the one with
+more aligned words counts, then the shorter, the earlier, and the first by the template's name. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +43,14 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
     "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -84,6 +89,8 @@ NAMES = {
     "GPL-3.0-notice": ("GNU General Public License", "3"),
     "LGPL-2.1": ("GNU Lesser General Public License", "version 2.1"),
     "LGPL-2.1-notice": ("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License", "version 3"),
     "LGPL-3.0-notice": ("GNU Lesser General Public License", "3"),
     "AGPL-3.0-notice": ("GNU Affero General Public License", "3"),
     "MPL-2.0": ("Mozilla Public License", "2.0"),
@@ -157,7 +164,9 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, (self.words, *_) = name, words_of(text.encode())
         self.kinds = Counter(self.words)
-        self.first = {w: k for k, w in reversed(list(enumerate(self.words)))}
+        self.places: dict[bytes, list[int]] = {}
+        for k, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(k)
         #: Ranges of words that name the license.
         self.names = []
         for phrase in NAMES.get(name, ()):
@@ -183,14 +192,18 @@ def matches(words: list[bytes], template: Template, least: float = LEAST) -> lis
         if w in t.kinds:
             here.setdefault(w, []).append(k)
     # The guides: of the words that a match may miss, even all but one cannot be the rarest and missing.
-    guides = sorted(here, key=lambda w: (len(here[w]), t.first[w]))[: max(GUIDES, int(n * (1 - least)) + 1)]
-    windows: list[list[int]] = []
+    guides = sorted(here, key=lambda w: (len(here[w]), t.places[w][0]))[: max(GUIDES, int(n * (1 - least)) + 1)]
+    starts = sorted({k - j for w in guides for k in here[w] for j in t.places[w]})
+    # Windows of the template's own length, where enough words stand in their places.
+    windows = [[lo, lo + n] for lo in starts if lo >= 0 and sum(map(bytes.__eq__, words[lo : lo + n], t.words)) >= least * n]
     slack = n // 4 + 4
-    for lo, hi in sorted((k - t.first[w] - slack, k - t.first[w] + n + slack) for w in guides for k in here[w]):
-        if windows and lo - windows[-1][0] <= slack:
-            windows[-1][1] = max(windows[-1][1], hi)
+    wide: list[list[int]] = []
+    for lo in starts:
+        if wide and lo - slack - wide[-1][0] <= slack:
+            wide[-1][1] = max(wide[-1][1], lo + n + slack)
         else:
-            windows.append([lo, hi])
+            wide.append([lo - slack, lo + n + slack])
+    windows += wide
     found = []
     for lo, hi in windows:
         lo, hi = max(lo, 0), min(hi, len(words))
@@ -202,10 +215,10 @@ def matches(words: list[bytes], template: Template, least: float = LEAST) -> lis
     return found
 
 
-def _best(found: list[tuple[int, int, float, str]]) -> list[tuple[int, int, float, str]]:
-    """Matches that do not overlap, the ones with more aligned words first."""
+def _best(found: list[tuple[int, int, float, str]], words: dict[str, int]) -> list[tuple[int, int, float, str]]:
+    """Matches that do not overlap, the ones with more aligned words first; words: those of each template."""
     out: list[tuple[int, int, float, str]] = []
-    for m in sorted(found, key=lambda m: (-(m[2] * (m[1] - m[0])), m[0], m[3])):
+    for m in sorted(found, key=lambda m: (-round(m[2] * words[m[3]]), m[1] - m[0], m[0], m[3])):
         if all(m[1] <= o[0] or m[0] >= o[1] for o in out):
             out.append(m)
     return sorted(out)
@@ -231,6 +244,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for k, t in enumerate(ts):
             for w, c in t.kinds.items():
                 weight[where[w], k] = c
+        sizes = {t.name: len(t.words) for t in ts}
         needed = np.array([t.least(least) * len(t.words) for t in ts])
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
@@ -254,7 +268,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                         words, a, b = words_of(text)
                         for k in able:
                             found += [(*m, ts[k].name) for m in matches(words, ts[k], least)]
-                        found = _best(found)
+                        found = _best(found, sizes)
                     out = []
                     for x, y, c, name in found:
                         start = len(text[: a[x]].decode())
